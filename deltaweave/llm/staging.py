@@ -63,3 +63,36 @@ def before(df: DataFrame, bucket: str, amounts: dict[str, str | Column], within:
     for c in on[1:]:
         cond = cond & c
     return inner.join(outer, cond).select(*(inner[c] for c in within), inner[bucket], *((inner[n] + outer[f"_o_{n}"]).cast("long").alias(n) for n in names))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver's JVM collects garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of every node of ``links`` (a, b): the label is the component's smallest node.
+
+    Alternates the large-star and small-star steps, both grouped aggregations over links; every step is written
+    to the shared folder. A hub's links are not gathered: its smallest neighbour comes from a partial aggregate.
+    """
+    edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("_m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        large = stage(large.distinct(), "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_a")
+        joined = large.join(least, F.col("a") == F.col("_a"))
+        small = joined.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).union(least.select(F.col("_a").alias("a"), F.col("_m").alias("b")))
+        small = stage(small.where("a <> b").distinct(), "small-star")
+        size, digest = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        done = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) == (size, digest)
+        drop_staged(large)
+        drop_staged(edges)
+        edges = small
+        if done:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
