@@ -144,8 +144,9 @@ def default_rules() -> list[Rule]:
         Rule("length", c("n_words").between(60, 100_000), c("n_words") < 50),
         Rule("mean word", mean.between(3, 9), (mean < 2.2) | (mean > 14)),
         Rule("symbols", per_word("n_symbols") < 0.02, per_word("n_symbols") > 0.1),
-        Rule("lines again", per_line("n_dup_lines") < 0.05, per_line("n_dup_lines") > 0.3),
-        Rule("phrases again", per_word("n_repeat_words") < 0.1, per_word("n_repeat_words") > 0.3),
+        Rule("symbols a character", c("n_symbols") < 0.005 * c("word_chars"), c("n_symbols") > 0.05 * c("word_chars")),
+        Rule("lines again", per_line("n_dup_lines") < 0.05, per_line("n_dup_lines") > 0.4),
+        Rule("phrases again", per_word("n_repeat_words") < 0.1, per_word("n_repeat_words") > 0.45),
         Rule("capitals", upper < 0.15, upper > 0.4),
         Rule("letters", letters > 0.8, letters < 0.65),
         Rule("line ends", per_line("n_ended") > 0.5, per_line("n_ended") < 0.1),
@@ -154,8 +155,9 @@ def default_rules() -> list[Rule]:
 
 @dataclass
 class LabelModel:
-    """EM's estimates: the share of good documents, and each rule's chances to vote bad, abstain or vote good on a
-    bad document (``chance[rule, 0]``) and on a good one (``chance[rule, 1]``)."""
+    """EM's estimates: the share of good documents, and each rule's accuracies: the chances that, when it votes, it
+    votes bad (first) or good (last) on a bad document (``chance[rule, 0]``) and on a good one (``chance[rule, 1]``).
+    An abstention says nothing."""
 
     good: float
     chance: np.ndarray
@@ -163,7 +165,8 @@ class LabelModel:
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
         """Probability of good for rows of votes in (-1, 0, 1)."""
         rule = np.arange(pattern.shape[1])
-        says = np.log(self.chance[rule, 1, pattern + 1] / self.chance[rule, 0, pattern + 1]).sum(axis=1)
+        says = np.log(self.chance[rule, 1, pattern + 1] / self.chance[rule, 0, pattern + 1])
+        says = np.where(pattern == 0, 0, says).sum(axis=1)
         z = np.log(self.good / (1 - self.good)) + says
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
@@ -180,6 +183,7 @@ class LabelModel:
             for y, weight in ((0, (1 - p) * count), (1, p * count)):
                 for v in range(3):
                     chance[:, y, v] += ((pattern + 1 == v) * weight[:, None]).sum(axis=0)
+            chance[:, :, 1] = 0
             chance /= chance.sum(axis=2, keepdims=True)
             wrong = chance[:, 1, 0] > chance[:, 0, 0]
             chance[wrong, :, 0] = chance[wrong, :, 0].mean(axis=1, keepdims=True)
