@@ -14,7 +14,7 @@ judged alike. No documents: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,9 +119,9 @@ def features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def base_failed() -> Column:
+def base_failed(c: Callable[[str], Column] = F.col) -> Column:
     """Too short, or most of its words in repeated three-word windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
 
 
 @dataclass(frozen=True)
@@ -133,8 +133,8 @@ class Rule:
     bad: Column
 
 
-def default_rules() -> list[Rule]:
-    c = F.col
+def default_rules(c: Callable[[str], Column] = F.col) -> list[Rule]:
+    """``c`` gives the column of a feature."""
     per_word = lambda x: c(x) / F.greatest(c("n_words"), F.lit(1))
     per_line = lambda x: c(x) / F.greatest(c("n_lines"), F.lit(1))
     mean = per_word("word_chars")
@@ -165,8 +165,8 @@ class LabelModel:
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
         """Probability of good for rows of votes in (-1, 0, 1)."""
         rule = np.arange(pattern.shape[1])
-        says = np.log(self.chance[rule, 1, pattern + 1] / self.chance[rule, 0, pattern + 1])
-        says = np.where(pattern == 0, 0, says).sum(axis=1)
+        good, bad = self.chance[rule, 1, pattern + 1], self.chance[rule, 0, pattern + 1]
+        says = np.where(pattern == 0, 0, np.log(np.where(pattern == 0, 1, good)) - np.log(np.where(pattern == 0, 1, bad))).sum(axis=1)
         z = np.log(self.good / (1 - self.good)) + says
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
@@ -197,18 +197,27 @@ class LabelModel:
         return model
 
 
+def pattern_of(rules: list[Rule]) -> Column:
+    """A number for the rules' votes together; a rule that finds both votes bad."""
+    vote = lambda r: F.when(r.bad, -1).when(r.good, 1).otherwise(0)
+    return sum(((vote(r) + 1) * 3**k for k, r in enumerate(rules)), F.lit(0)).cast("int")
+
+
+def fit(patterns: DataFrame, rules: int) -> DataFrame:
+    """(_pattern, posterior) of every pattern seen; at most 3 ** rules rows."""
+    seen = patterns.groupBy("_pattern").count().collect()
+    codes = np.array([x[0] for x in seen], np.int64)
+    votes = (codes[:, None] // 3 ** np.arange(rules) % 3 - 1).reshape(len(codes), rules)
+    model = LabelModel.fit(votes, np.array([x[1] for x in seen], float))
+    posterior = [(int(c), float(p)) for c, p in zip(codes, model.posterior(votes))]
+    return patterns.sparkSession.createDataFrame(posterior, "_pattern int, posterior double")
+
+
 def judge(measured: DataFrame, rules: list[Rule] | None = None, least: float = 0.5) -> DataFrame:
     """Add ``base_failed``, ``posterior`` and ``kept`` to a table of features."""
     rules = rules or default_rules()
-    vote = lambda r: F.when(r.bad, -1).when(r.good, 1).otherwise(0)
-    code = sum(((vote(r) + 1) * 3**k for k, r in enumerate(rules)), F.lit(0))
-    coded = measured.withColumn("_pattern", code.cast("int"))
-    seen = coded.groupBy("_pattern").count().collect()  # at most 3 ** rules rows
-    codes = np.array([x[0] for x in seen], np.int64)
-    pattern = (codes[:, None] // 3 ** np.arange(len(rules)) % 3 - 1).reshape(len(codes), len(rules))
-    model = LabelModel.fit(pattern, np.array([x[1] for x in seen], float))
-    posterior = [(int(c), float(p)) for c, p in zip(codes, model.posterior(pattern))]
-    by_pattern = measured.sparkSession.createDataFrame(posterior, "_pattern int, posterior double")
+    coded = measured.withColumn("_pattern", pattern_of(rules))
+    by_pattern = fit(coded.select("_pattern"), len(rules))
     out = coded.join(F.broadcast(by_pattern), "_pattern", "left").drop("_pattern").withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("posterior"), F.lit(0.0)) >= least))
 
@@ -216,3 +225,25 @@ def judge(measured: DataFrame, rules: list[Rule] | None = None, least: float = 0
 def quality(docs: DataFrame, rules: list[Rule] | None = None, *, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """Features and verdict of every document."""
     return judge(stage(features(docs, doc_id=doc_id, text=text), "quality"), rules, least)
+
+
+def keep_good(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents that pass the base rule and that the vote finds good, with all their columns. The features are
+    taken twice, once to fit and once to judge, so that no document is shuffled."""
+    schema = docs.withColumn("_f", F.struct(*(F.lit(0).cast("long").alias(f) for f in FEATURES))).schema
+    kind = pa.struct([(f, pa.int64()) for f in FEATURES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column(batch.schema.get_field_index(text))
+                rows = np.concatenate([measure(data, offsets) for _, _, data, offsets in slices(column)])
+                packed = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(FEATURES))], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([*batch.columns, packed], schema.names)
+
+    rules = default_rules(lambda c: F.col(f"_f.{c}"))
+    coded = docs.mapInArrow(run, schema).withColumn("_pattern", pattern_of(rules))
+    by_pattern = fit(coded.select("_pattern"), len(rules))
+    judged = coded.join(F.broadcast(by_pattern), "_pattern", "left")
+    good = ~base_failed(lambda c: F.col(f"_f.{c}")) & (F.coalesce(F.col("posterior"), F.lit(0.0)) >= least)
+    return judged.where(good).select(*(F.col(f"`{c}`") for c in docs.columns))
