@@ -68,18 +68,19 @@ def sequence(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
 
 
 class Scanner:
-    """Templates by name, their shingles, signatures and window lengths."""
+    """Templates by name, their shingles (and where each comes first), signatures and window lengths."""
 
     def __init__(self, templates: dict[str, str], width: int = WIDTH, bands: int = BANDS, least: float = LEAST):
         self.width, self.least = width, least
         self.seeds = mix(np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-        self.names, self.sets = [], []
+        self.names, self.sets, self.orders = [], [], []
         for name, text in templates.items():
             for _, _, data, offsets in slices(pa.array([text])):
-                own = np.unique(sequence(data, offsets, width)[0])
+                own = sequence(data, offsets, width)[0]
                 if len(own):
                     self.names.append(name)
-                    self.sets.append(own)
+                    self.sets.append(np.unique(own))
+                    self.orders.append({x: k for k, x in reversed(list(enumerate(own.tolist())))})
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, _U)
         self.lengths = [2 << int(np.ceil(np.log2(max(len(s), 1)))) for s in self.sets]
         self.by_length: dict[int, dict[tuple[int, int], list[int]]] = {}
@@ -98,24 +99,21 @@ class Scanner:
         for length, table in self.by_length.items():
             step = max(length // 2, 1)
             windows = np.unique(np.concatenate([hits // step, np.maximum(hits // step - 1, 0)])) if len(hits) else ()
-            matches: dict[int, list[tuple[int, int]]] = {}
+            held: dict[int, set[int]] = {}
             for w in windows:
                 part = h[w * step : w * step + length]
                 for k in {k for b, v in enumerate(self.signature(np.unique(part)).tolist()) for k in table.get((b, v), ())}:
-                    at = np.flatnonzero(np.isin(part, self.sets[k])) + w * step
-                    if len(at) and len(np.unique(h[at])) >= self.least * len(self.sets[k]):
-                        matches.setdefault(k, []).append((int(at[0]), int(at[-1]) + 1))
-            for k, spans in matches.items():
-                spans.sort()
-                merged = [list(spans[0])]
-                for s, e in spans[1:]:
-                    if s < merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                for s, e in merged:
-                    shared = len(np.intersect1d(h[s:e], self.sets[k]))
-                    found.append((k, s, e + self.width - 1, shared))
+                    held.setdefault(k, set()).update((np.flatnonzero(np.isin(part, self.sets[k])) + w * step).tolist())
+            for k, places in held.items():
+                at = np.array(sorted(places))
+                order = self.orders[k]
+                nth = np.array([order[x] for x in h[at].tolist()])
+                # a place of the template that comes again, or a gap longer than the template, begins another passage
+                cuts = np.flatnonzero((np.diff(nth) <= 0) | (np.diff(at) > len(order))) + 1
+                for run in np.split(at, cuts):
+                    shared = len(np.unique(h[run]))
+                    if shared >= self.least * len(self.sets[k]):
+                        found.append((k, int(run[0]), int(run[-1]) + self.width, shared))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

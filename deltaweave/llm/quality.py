@@ -172,11 +172,12 @@ class LabelModel:
 
     @classmethod
     def fit(cls, pattern: np.ndarray, count: np.ndarray, rounds: int = 300, prior: float = 2.0) -> LabelModel:
-        """``count`` documents have each row of ``pattern``. Begins from the votes' own sense: a document with a bad
-        vote is probably bad. A rule's bad vote never comes to speak for good: where EM finds it more often on good
+        """``count`` documents have each row of ``pattern``. Begins from the votes' own sense: a document is
+        the less likely good, the larger the share of bad votes among its votes. A rule's bad vote never comes to speak for good: where EM finds it more often on good
         documents than on bad ones, both chances are set to their mean, and the rule has no say by it."""
         rules = pattern.shape[1]
-        p = np.where((pattern == -1).any(axis=1), 0.05, 0.95)
+        cast = np.maximum((pattern != 0).sum(axis=1), 1)
+        p = np.clip(1 - 2 * (pattern == -1).sum(axis=1) / cast, 0.02, 0.98)
         model = None
         for _ in range(rounds):
             chance = np.full((rules, 2, 3), prior / 3)
@@ -230,7 +231,8 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, *, doc_id: str = "
 def keep_good(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that pass the base rule and that the vote finds good, with all their columns. The features are
     taken twice, once to fit and once to judge, so that no document is shuffled."""
-    schema = docs.withColumn("_f", F.struct(*(F.lit(0).cast("long").alias(f) for f in FEATURES))).schema
+    own = "_f" + "_" * max((len(c) for c in docs.columns), default=0)  # no column has this name
+    schema = docs.withColumn(own, F.struct(*(F.lit(0).cast("long").alias(f) for f in FEATURES))).schema
     kind = pa.struct([(f, pa.int64()) for f in FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +243,9 @@ def keep_good(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> Dat
                 packed = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(FEATURES))], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*batch.columns, packed], schema.names)
 
-    rules = default_rules(lambda c: F.col(f"_f.{c}"))
-    coded = docs.mapInArrow(run, schema).withColumn("_pattern", pattern_of(rules))
-    by_pattern = fit(coded.select("_pattern"), len(rules))
-    judged = coded.join(F.broadcast(by_pattern), "_pattern", "left")
-    good = ~base_failed(lambda c: F.col(f"_f.{c}")) & (F.coalesce(F.col("posterior"), F.lit(0.0)) >= least)
+    rules = default_rules(lambda c: F.col(f"{own}.{c}"))
+    coded = docs.mapInArrow(run, schema)
+    by_pattern = fit(coded.select(pattern_of(rules).alias("_pattern")), len(rules)).select(F.col("_pattern").alias(f"{own}p"), F.col("posterior").alias(f"{own}q"))
+    judged = coded.join(F.broadcast(by_pattern), pattern_of(rules) == F.col(f"{own}p"), "left")
+    good = ~base_failed(lambda c: F.col(f"{own}.{c}")) & (F.coalesce(F.col(f"{own}q"), F.lit(0.0)) >= least)
     return judged.where(good).select(*(F.col(f"`{c}`") for c in docs.columns))
