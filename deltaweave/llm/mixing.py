@@ -56,7 +56,7 @@ def source_targets(per_source: DataFrame, source: str, size: str, weights: list[
         F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(earlier), F.lit(0.0))
     )
     ranked = ranked.withColumn("_level", level).withColumn("_open", F.col("_level") <= F.col("_full") / F.col("_w"))
-    ranked = ranked.withColumn("_level", F.min(F.when(F.col("_open"), F.col("_level"))).over(everything))
+    ranked = ranked.withColumn("_level", F.max(F.when(F.col("_open"), F.col("_level"))).over(everything))
     target = F.least(F.col("_full"), F.coalesce(F.col("_w") * F.col("_level"), F.col("_full")))
     return ranked.withColumn("target", target).drop("_n", "_w", "_full", "_level", "_open")
 

@@ -15,7 +15,7 @@ leveled AS (
   FROM weighed WINDOW e AS (ORDER BY most / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_size,
-         least(most, coalesce(w * min(lvl) FILTER (lvl <= most / w) OVER (), most)) AS target FROM leveled),
+         least(most, coalesce(w * max(lvl) FILTER (lvl <= most / w) OVER (), most)) AS target FROM leveled),
 drawn AS (
   SELECT d.doc_id, d.size, d.u, t.source, t.source_size, t.target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS e
