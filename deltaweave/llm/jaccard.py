@@ -144,85 +144,101 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def measure(docs: DataFrame, *, doc_id: str, text: str, width: int, num: int, den: int, salt: int) -> DataFrame:
-    """(doc_id, n, node, short): the size and name of each set; short: too few filled pieces under this salt."""
-    schema = docs.select(F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("node"), F.lit(True).alias("short")).schema
+    """(doc_id, n, node, spare0, spare1): the size and name of each set, and how many pieces beyond D + 1 are filled in
+    its own band and in the one before (negative: too few under this salt)."""
+    zero = F.lit(0).cast("long")
+    schema = docs.select(F.col(doc_id).alias("doc_id"), *(zero.alias(c) for c in ("n", "node", "spare0", "spare1"))).schema
 
     def run(batch, first, end, owner, h):  # noqa: ANN001
         texts = end - first
         n = np.bincount(owner, minlength=texts)
-        short = np.zeros(texts, bool)
-        for _, sets, _, need in pieces(owner, h, n, salt, num, den):
-            short |= np.bincount(sets, minlength=texts) < need
+        spare = [np.bincount(sets, minlength=texts) - need for _, sets, _, need in pieces(owner, h, n, salt, num, den)]
         node = fingerprints(owner, h, texts).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, texts), pa.array(n), pa.array(node), pa.array(short)], ["doc_id", "n", "node", "short"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, texts), pa.array(n), pa.array(node), *map(pa.array, spare)], schema.names)
 
     return docs.select(doc_id, text).mapInArrow(_rows(run, width, 1), schema)
 
 
 def paired(docs: DataFrame, buckets: int, *, text: str, width: int, num: int, den: int, salt: int) -> DataFrame:
-    """(node) of the sets that have fewer than D + 1 pieces of their own."""
+    """(node, view, common): of each set and band, how many pieces occur in another set."""
 
     def send(batch, first, end, owner, h):  # noqa: ANN001
         texts = end - first
         n = np.bincount(owner, minlength=texts)
         node = fingerprints(owner, h, texts)
-        for view, sets, value, need in pieces(owner, h, n, salt, num, den):
+        for view, sets, value, _ in pieces(owner, h, n, salt, num, den):
             if not len(sets):
                 continue
-            spare = np.bincount(sets, minlength=texts) - need  # pieces it may share and still have D + 1 of its own
-            name, value = node[sets] | _U(view), value + _U(0)
+            name = node[sets] | _U(view)
             order = np.lexsort((name, value))
-            name, value, spare_of = name[order], value[order], spare[sets[order]]
+            name, value = name[order], value[order]
             fresh = np.append(True, (value[1:] != value[:-1]) | (name[1:] != name[:-1]))
-            name, value, spare_of = name[fresh], value[fresh], spare_of[fresh]
+            name, value = name[fresh], value[fresh]
             start, run = _groups(value)
             nth = np.arange(len(value)) - start[run]
             sent = nth < 2
-            part = _pack((value[sent] % _U(buckets)).astype(np.int64), value=value[sent], name=name[sent], spare=spare_of[sent].astype(np.int32))
+            part = _pack((value[sent] % _U(buckets)).astype(np.int64), value=_narrow(value[sent] // _U(buckets)), name=name[sent])
             yield part.add_column(1, "shared", pa.array(np.zeros(part.num_rows, bool)))
             if not sent.all():  # two sets of this slice go for them; that they are shared is known here
-                part = _pack((name[~sent] % _U(buckets)).astype(np.int64), value=value[~sent], name=name[~sent], spare=spare_of[~sent].astype(np.int32))
+                part = _pack((name[~sent] % _U(buckets)).astype(np.int64), value=_narrow(value[~sent] // _U(buckets)), name=name[~sent])
                 yield part.add_column(1, "shared", pa.array(np.ones(part.num_rows, bool)))
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+        """(values with their bucket mixed in, names, known to be shared) of a partition."""
+        parts = []
+        for b in batches:
+            raw = b.column(b.schema.get_field_index("value")).to_pylist()
+            size = [len(x) // 6 for x in raw]
+            value = mix(_wide(b"".join(raw)) * _U(buckets) + np.repeat(b.column(0).to_numpy(), size).astype(_U)) if "shared" in b.schema.names else _wide(b"".join(raw))
+            known = np.repeat(b.column(1).to_numpy(zero_copy_only=False), size) if "shared" in b.schema.names else np.ones(len(value), bool)
+            parts.append((value, _unpack(b, "name", "<u8"), known))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else None
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_unpack(b, "value", "<u8"), _unpack(b, "name", "<u8"), _unpack(b, "spare", "<i4"), np.repeat(b.column(1).to_numpy(zero_copy_only=False), [len(x) // 8 for x in b.column(2).to_pylist()])) for b in batches]
-        if not parts:
+        got = gather(batches)
+        if got is None:
             return
-        value, name, spare, known = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        common = known.copy()
-        at = np.flatnonzero(~known)
+        value, name, common = got
+        at = np.flatnonzero(~common)
         at = at[np.argsort(value[at], kind="stable")]
         start, run = _groups(value[at])
         if len(at):
             least, most = np.minimum.reduceat(name[at], start), np.maximum.reduceat(name[at], start)
             common[at] = (least != most)[run]
-        # one entry per (value, set): a set sent by several slices counts once
         at = np.flatnonzero(common)
         at = at[np.lexsort((name[at], value[at]))]
-        if len(at):
-            fresh = np.append(True, (value[at[1:]] != value[at[:-1]]) | (name[at[1:]] != name[at[:-1]]))
-            at = at[fresh]
-            yield _pack((name[at] % _U(buckets)).astype(np.int64), value=value[at], name=name[at], spare=spare[at])
+        if len(at):  # one entry per (value, set): a set sent by several slices counts once
+            at = at[np.append(True, (value[at[1:]] != value[at[:-1]]) | (name[at[1:]] != name[at[:-1]]))]
+            yield _pack((name[at] % _U(buckets)).astype(np.int64), value=_narrow(value[at]), name=name[at])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_unpack(b, "value", "<u8"), _unpack(b, "name", "<u8"), _unpack(b, "spare", "<i4")) for b in batches]
-        if not parts:
+        got = gather(batches)
+        if got is None:
             return
-        value, name, spare = (np.concatenate(x) for x in zip(*parts))
+        value, name, _ = got
         order = np.lexsort((value, name))
-        value, name, spare = value[order], name[order], spare[order]
-        fresh = np.append(True, (value[1:] != value[:-1]) | (name[1:] != name[:-1]))
-        name, spare = name[fresh], spare[fresh]
+        value, name = value[order], name[order]
+        name = name[np.append(True, (value[1:] != value[:-1]) | (name[1:] != name[:-1]))]
         start, _ = _groups(name)
         count = np.diff(np.append(start, len(name)))
-        left = name[start][count > spare[start]] & ~_U(1)
-        yield pa.RecordBatch.from_pydict({"node": pa.array(np.unique(left).view(np.int64))})
+        name = name[start]
+        view = (name & _U(1)).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"node": pa.array((name & ~_U(1)).view(np.int64)), "view": pa.array(view), "common": pa.array(count)})
+
+    sent = docs.select(text).mapInArrow(_rows(send, width, 0), "bucket long, shared boolean, value binary, name binary")
+    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, value binary, name binary")
+    return met.repartition(buckets, "bucket").mapInArrow(settle, "node long, view int, common long")
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits, six bytes a value; with the bucket they tell values apart."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+
 
-    packed = "bucket long, shared boolean, value binary, name binary, spare binary"
-    sent = docs.select(text).mapInArrow(_rows(send, width, 0), packed)
-    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, value binary, name binary, spare binary")
-    return met.repartition(buckets, "bucket").mapInArrow(settle, "node long").distinct()
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def rare_bits(texts: DataFrame, buckets: int, *, width: int, num: int, den: int) -> DataFrame:
@@ -380,17 +396,19 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for salt in range(8):
         sets = stage(measure(docs, doc_id="doc_id", text="text", width=width, num=num, den=den, salt=salt), "sets")
-        if sets.where("short").isEmpty():
+        if sets.where("spare0 < 0 or spare1 < 0").isEmpty():
             break
         drop_staged(sets)
     else:
         raise RuntimeError("no salt fills enough pieces")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, -(-total // ENTRIES_PER_BUCKET))
-    left = stage(paired(docs, buckets, text="text", width=width, num=num, den=den, salt=salt), "paired")
+    common = paired(docs, buckets, text="text", width=width, num=num, den=den, salt=salt)
+    common = stage(common.groupBy("node").agg(*(F.coalesce(F.sum(F.when(F.col("view") == v, F.col("common"))), F.lit(0)).alias(f"common{v}") for v in (0, 1))), "paired")
     release(spark)
-    named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    chosen = named.join(left, "node").select("node", "rep", F.col("n").alias("_n"))
+    # a set with D + 1 pieces of its own, in both bands, has no partner
+    named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "spare0", "spare1")))
+    chosen = named.join(common, "node").where("common0 > spare0 or common1 > spare1").select("node", "rep", F.col("n").alias("_n"))
     found = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("node", F.col("_n").alias("n"), "text")
     texts = stage(_same_set(found, width).dropDuplicates(["node"]), "texts")
     release(spark)
@@ -421,7 +439,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         links = fresh if links is None else links.union(fresh)
         labels = stage(components(links), "labels")
         release(spark)
-    merged = sets.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n", "short").withColumn("label", F.coalesce("label", "node"))
+    merged = sets.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n", "spare0", "spare1").withColumn("label", F.coalesce("label", "node"))
     least = merged.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("_least")).withColumnRenamed("label", "_l")
     out = merged.join(least, (F.col("label") == F.col("_l")) & (F.col("n") > 0), "left")
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
