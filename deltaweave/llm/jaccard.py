@@ -14,10 +14,10 @@ band before.
 2. For the rest, whose texts are written once, bits are ordered by how many sets share them, and each node
    keeps its rarest floor((1 - t) n) + 1 bits; linked sets share one of them.
 3. Links are verified on whole texts in rounds: each node against one leader of the buckets that still hold
-   several components, then all pairs of different components in a bucket whose 2048-bit sketches
-   are near enough. Only what could join two components is compared, so a group of thousands of copies costs
-   about one comparison a copy. Buckets are dealt in blocks of at most ``BLOCK`` sets, pair of blocks by
-   pair of blocks, so none is gathered whole.
+   several components, then a forest of the pairs whose 2048-bit sketches are near enough, then all such
+   pairs that are left between components. Only what could join two components is compared, so a group of
+   thousands of copies costs about a comparison a copy and round. Buckets are dealt in blocks of at most
+   ``BLOCK`` sets, pair of blocks by pair of blocks, so none is gathered whole.
 
 Values travel as packed arrays, one row per slice of texts and bucket; in a slice a value is sent at most
 twice. Nothing is dropped or capped.
@@ -330,9 +330,10 @@ def verify(pairs: DataFrame, texts: DataFrame, *, width: int, num: int, den: int
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, block: int = BLOCK, bits: int = SKETCH_BITS) -> DataFrame:
-    """(a, b) of all pairs in a bucket of ``entries`` (key, node, n, label) that differ in label, can reach the
-    threshold by their sizes, and whose sketches are near enough."""
+def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, forest: bool, block: int = BLOCK, bits: int = SKETCH_BITS) -> DataFrame:
+    """(a, b) of pairs in a bucket of ``entries`` (key, node, n, label) that differ in label, can reach the threshold by
+    their sizes, and whose sketches are near enough: all of them, or with ``forest`` those that would join what the
+    bucket's earlier pairs leave apart, at most one a set."""
     size = entries.groupBy("key").agg(F.count("*").alias("_c")).withColumnRenamed("key", "_k")
     rows = entries.join(size, F.col("key") == F.col("_k")).drop("_k").withColumn("_blocks", F.ceil(F.col("_c") / block)).withColumn("_i", F.pmod(F.xxhash64("node"), "_blocks"))
     rows = rows.withColumn("_j", F.explode(F.expr("sequence(0L, _blocks - 1)")))
@@ -340,33 +341,43 @@ def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, block:
     rows = rows.join(sketch.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
-    def compare(key, i, j, own, node, n, label, sk):  # noqa: ANN001
+    def compare(i, j, own, node, n, label, sk):  # noqa: ANN001
+        root = label.copy()
         for a in range(len(n)):
             b = int(np.searchsorted(n, n[a] * den // num, side="right"))
             at = np.arange(a + 1, b)
-            if not len(at):
-                continue
-            at = at[label[at] != label[a]]
+            at = at[root[at] != root[a]]
             if i != j:
                 at = at[own[at] != own[a]]
+            if not len(at):
+                continue
+            apart = np.bitwise_count(sk[at] ^ sk[a]).sum(axis=1)
+            at = at[apart <= most_apart(n[at], n[a], num, den)]
+            if forest and len(at):
+                at = at[np.unique(root[at], return_index=True)[1]]
+                root[np.isin(root, root[at])] = root[a]
             if len(at):
-                apart = np.bitwise_count(sk[at] ^ sk[a]).sum(axis=1)
-                at = at[apart <= most_apart(n[at], n[a], num, den)]
-                if len(at):
-                    yield np.full(len(at), node[a]), node[at]
+                yield np.full(len(at), node[a]), node[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits // 64
         held: list[tuple] = []
+        pending: list[np.ndarray] = []
         last = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             own, node, n, label = (np.concatenate([h[k] for h in held]) for k in range(4))
             sk = np.concatenate([h[4] for h in held])
-            found = list(compare(*last, own, node, n, label, sk))
-            if found:
-                x, y = (np.concatenate(z) for z in zip(*found))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+            for x, y in compare(*last[1:], own, node, n, label, sk):
+                pending.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            if sum(map(len, pending)) > 200_000:
+                yield from send()
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if pending:  # a pair meets in many buckets; a task sends it about once
+                both = np.unique(np.concatenate(pending), axis=0)
+                pending.clear()
+                yield pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
         for batch in batches:
             if not batch.num_rows:
@@ -383,6 +394,7 @@ def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, block:
                 held.append((col[3][s:e], col[4][s:e], col[5][s:e], col[6][s:e], sk[s:e]))
         if held:
             yield from flush()
+        yield from send()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -417,8 +429,8 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     entries = stage(rare_bits(texts, max(16, -(-size // ENTRIES_PER_BUCKET)), width=width, num=num, den=den), "entries")
     sketch = stage(sketches(texts, width), "sketches")
     release(spark)
-    links, labels = None, None
-    for k in range(leader_rounds + 1):
+    links, labels, failed = None, None, None
+    for k in range(leader_rounds + 2):
         rows = entries
         if labels is not None:
             rows = rows.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
@@ -434,8 +446,13 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
             pairs = pairs.groupBy("node", F.col("_lead.a").alias("b")).count().groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
             pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         else:
-            pairs = near_pairs(rows.join(open_, F.col("key") == F.col("_k"), "left_semi"), sketch, num, den)
-        fresh = stage(verify(stage(pairs, "pairs"), texts, width=width, num=num, den=den), "links")
+            pairs = near_pairs(rows.join(open_, F.col("key") == F.col("_k"), "left_semi"), sketch, num, den, forest=k == leader_rounds)
+        pairs = stage(pairs if failed is None else pairs.join(failed, ["a", "b"], "left_anti"), "pairs")
+        fresh = stage(verify(pairs, texts, width=width, num=num, den=den), "links")
+        missed = pairs.join(fresh, ["a", "b"], "left_anti")
+        failed = missed if failed is None else failed.union(missed)
+        if links is not None and fresh.isEmpty():
+            continue
         links = fresh if links is None else links.union(fresh)
         labels = stage(components(links), "labels")
         release(spark)
