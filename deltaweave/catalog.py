@@ -7,9 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaweave.functions import identifiers
+from deltaweave.functions import identifiers, udfs
 from deltaweave.operators import aggregates as agg, arrays, cells as cell, cutoff, delta, keyed, positions, time
 from deltaweave.plans import bind, dependencies
+from deltaweave.plans.session import Session
 from deltaweave.sources import cells, keyed as store, tables
 from deltaweave.streaming import runner, stateful
 
@@ -768,6 +769,43 @@ def stream_watch(spark, d):
     return cell.history(runner.Passes(s.select("k", "seq", "v")).run(), ["k"])
 
 
+# Python functions
+
+
+@query("SELECT c_custkey, reverse(c_name) AS back FROM customer")
+def udf_scalar(spark, d):
+    def back(s):
+        return None if s is None else s[::-1]
+
+    return tables.load(spark, d, "customer").select("c_custkey", udfs.scalar(back, "string")("c_name").alias("back"))
+
+
+@query(f"WITH {EV} SELECT event_type, CAST(max(v % 1000) AS BIGINT) AS most FROM ev GROUP BY event_type")
+def udaf_fold(spark, d):
+    most = udfs.aggregate(lambda v: int(v) % 1000, max, "long")
+    return tables.events(spark, d).groupBy("event_type").agg(most("v").alias("most"))
+
+
+@query("SELECT n_nationkey, CAST(unnest(generate_series(0, n_nationkey % 3)) AS INT) AS i FROM nation")
+def udtf_expand(spark, d):
+    spark.udtf.register("count_up", udfs.table(lambda n: ((i,) for i in range(n % 3 + 1)), "i int"))
+    tables.load(spark, d, "nation").createOrReplaceTempView("deltaweave_nation")
+    return spark.sql("SELECT n_nationkey, i FROM deltaweave_nation, LATERAL count_up(n_nationkey)")
+
+
+@query("SELECT CAST(2 AS BIGINT) AS made, (SELECT count(*) FROM nation) AS nations, (SELECT count(*) FROM region) AS regions")
+def session_pass(spark, d):
+    s = Session(spark)
+    s.source("nation", lambda: tables.load(spark, d, "nation"))
+    s.source("region", lambda: tables.load(spark, d, "region"))
+    n = s.derive("n", lambda a, b: a.agg(F.count("*").alias("nations")).crossJoin(b.agg(F.count("*").alias("regions"))), "nation", "region")
+    found = s.observe("n")
+    s.run()
+    s.set("region", lambda: tables.load(spark, d, "region"))
+    s.run()
+    return found.value().select(F.lit(n.recomputes).cast("long").alias("made"), "nations", "regions")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: total of the latest values per pass."""
     return QUERIES["latest_total_per_day"](spark, d)

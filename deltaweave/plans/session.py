@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -248,6 +249,19 @@ class Session:
                         call(self.operators[n].value)
         return self.version
 
+    def act(self, actions: dict[str, Callable[[DataFrame], object]], parallel: int = 4) -> dict[str, object]:
+        """Run an action on each of several observed operators, some at a time, as jobs of their own."""
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            jobs = {n: pool.submit(f, self.operators[n].value) for n, f in actions.items()}
+        return {n: j.result() for n, j in jobs.items()}
+
+    def trace(self, write: Callable[[str], None]) -> None:
+        """Tell ``write`` of passes and of what they make."""
+        self.on_start.append(lambda v: write(f"pass {v} starts"))
+        self.on_end.append(lambda v, e: write(f"pass {v} failed: {e}" if e else f"pass {v} ends"))
+        for op in self.operators.values():
+            op.on_update.append(lambda df, n=op.name: write(f"made {n}"))
+
     def _consumers(self, name: str) -> int:
         return sum(name in self.operators[n].inputs for n in self._needed)
 
