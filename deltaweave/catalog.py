@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from deltaweave.functions import identifiers, udfs
 from deltaweave.operators import aggregates as agg, arrays, cells as cell, cutoff, delta, keyed, positions, time
 from deltaweave.plans import bind, dependencies
 from deltaweave.plans.session import Session
 from deltaweave.sources import cells, keyed as store, tables
+from deltaweave.sources.shared import shared_dir
 from deltaweave.streaming import runner, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +61,7 @@ def var_equal_dedup(spark, d):
 
 @query(f"WITH {EV} SELECT k, seq, v FROM (SELECT *, lag(v) OVER (PARTITION BY k ORDER BY seq) AS p FROM ev) WHERE p IS NULL OR p // 1000 <> v // 1000")
 def var_equal_func(spark, d):
-    return cells.drop_unchanged(tables.events(spark, d).select("k", "seq", "v"), ["k"], equal=lambda a, b: F.expr("1").isNotNull() & (F.floor(a / 1000) == F.floor(b / 1000)))
+    return cells.drop_unchanged(tables.events(spark, d).select("k", "seq", "v"), ["k"], equal=lambda a, b: F.floor(a / 1000) == F.floor(b / 1000))
 
 
 @query(f"WITH {EV} SELECT k, CAST(list_reduce(list_prepend(0::BIGINT, list(v ORDER BY seq)), lambda a, x: (a * 3 + x) % 1000003) AS BIGINT) AS v FROM ev GROUP BY k")
@@ -102,7 +104,7 @@ def upsert_delete(spark, d):
 
 @query(f"WITH {V1} SELECT k, v FROM v1")
 def store_after_pass(spark, d):
-    s = store.Store(spark, f"{runner.shared_dir(spark)}/store-{runner.uuid.uuid4().hex}", "k", 16).create(tables.book(spark, d, 0))
+    s = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "k", 16).create(tables.book(spark, d, 0))
     s.apply(changes_of(spark, d))
     return s.table()
 
@@ -340,12 +342,12 @@ def counti_pred(spark, d):
 
 @query(f"WITH {V1} SELECT max(v) AS max_v, min(v) AS min_v FROM v1")
 def max_min_value(spark, d):
-    return agg.max_value(tables.book(spark, d, 1))
+    return agg.extremes(tables.book(spark, d, 1))
 
 
 @query(f"WITH {V0} SELECT max(v) AS max_v, min(v) AS min_v FROM v0 WHERE k < 0")
 def max_of_nothing(spark, d):
-    return agg.max_value(tables.book(spark, d, 0).where("k < 0"))
+    return agg.extremes(tables.book(spark, d, 0).where("k < 0"))
 
 
 @query(f"WITH {V1} SELECT max(v) AS v FROM v1")
@@ -380,8 +382,6 @@ def reduce_balanced(spark, d):
 def unordered_array_fold(spark, d):
     last = cell.with_last(cells.latest_per_pass(tables.events(spark, d), ["k"]), ["k"], 0, order="version")
     per_pass = last.groupBy("version").agg(F.sum(F.col("v") - F.col("prev")).alias("dv"))
-    from pyspark.sql import Window
-
     return per_pass.select("version", F.sum("dv").over(Window.orderBy("version")).alias("total"))  # one row a pass
 
 
@@ -548,8 +548,6 @@ def rolling_last_n(spark, d):
 
 @query(f"WITH {EV} SELECT k, seq, greatest(max(v) OVER w, 0) AS top, row_number() OVER w AS updates FROM ev WINDOW w AS (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING)")
 def running_max_and_rate(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return tables.events(spark, d).select("k", "seq", F.greatest(F.max("v").over(w), F.lit(0)).alias("top"), F.row_number().over(w).cast("long").alias("updates"))
 

@@ -72,8 +72,8 @@ class Reduce:
         return partials.agg(self.combine(F.col("bucket"), F.col("part")).alias(self.name))
 
 
-def max_value(table: DataFrame, column: str = "v") -> DataFrame:
-    """Greatest value; null for an empty table."""
+def extremes(table: DataFrame, column: str = "v") -> DataFrame:
+    """Greatest and least value; nulls for an empty table."""
     return table.agg(F.max(column).alias("max_v"), F.min(column).alias("min_v"))
 
 

@@ -89,9 +89,9 @@ class Merge:
     name: str = "v"
 
     def full(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select(self.key, row_of(left, self.key).alias("l"), F.lit(None).alias("_n"))
+        a = left.select(self.key, row_of(left, self.key).alias("l"))
         b = right.select(self.key, row_of(right, self.key).alias("r"))
-        both = a.drop("_n").unionByName(b, allowMissingColumns=True).groupBy(self.key)
+        both = a.unionByName(b, allowMissingColumns=True).groupBy(self.key)
         both = both.agg(F.first("l", ignorenulls=True).alias("l"), F.first("r", ignorenulls=True).alias("r"))
         args = accessor("l", self.key), accessor("r", self.key), F.col("l").isNotNull(), F.col("r").isNotNull()
         return both.where(self.include(*args)).select(self.key, self.fn(*args).alias(self.name))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -41,7 +40,8 @@ def at_intervals(tick: Column, start: Column, every_seconds: int) -> Column:
     """Whole intervals since the start; skipped ones count."""
     if every_seconds <= 0:
         raise ValueError("the interval has to be positive")
-    return F.expr("1").cast("long") * F.floor((micros(tick) - micros(start)) / (every_seconds * 1_000_000)).cast("long")
+    past, every = micros(tick) - micros(start), every_seconds * 1_000_000
+    return ((past - F.pmod(past, F.lit(every))) / every).cast("long")
 
 
 def snapshot(passes: DataFrame, keys: list[str], when: Column, before: object, order: str = "version", tick: str = "tick", value: str = "v") -> DataFrame:
@@ -101,8 +101,3 @@ def staleness(beats: DataFrame, ticks: DataFrame, key: str, most_seconds: int, b
     rows = a.union(b).withColumn("_last", last).where("_side = 1")
     age = micros(F.col("_t")) - micros(F.col("_last"))
     return rows.select(key, F.col("_t").alias(tick), F.coalesce(age < most_seconds * 1_000_000, F.lit(False)).alias("healthy"))
-
-
-def every_pass(cell: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
-    """A cell that is made again on every pass: it is never kept."""
-    return cell

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from deltaweave.sources.shared import written
+
 
 class BadDependencies(ValueError):
     """Names that repeat, names that nothing defines, or a cycle."""
@@ -32,7 +34,9 @@ def levels(deps: DataFrame) -> DataFrame:
         level += 1
         ready = e.join(done.select(F.col("name").alias("needs"), F.lit(1).alias("_ok")), "needs", "left")
         ready = ready.groupBy("name").agg(F.count_if(F.col("_ok").isNull()).alias("_open")).where("_open = 0").select("name", F.lit(level).cast("long").alias("level"))
-        done = done.unionByName(ready.join(done.select("name"), "name", "left_anti")).checkpoint() if level % 8 == 0 else done.unionByName(ready.join(done.select("name"), "name", "left_anti"))
+        done = done.unionByName(ready.join(done.select("name"), "name", "left_anti"))
+        if level % 8 == 0:
+            done = written(done, "levels")
         now = done.count()
         if now == count:
             e.unpersist()

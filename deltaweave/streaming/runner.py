@@ -6,20 +6,12 @@ try left.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an own one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='deltaweave-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from deltaweave.sources.shared import shared_dir
 
 
 def passes(log: DataFrame, column: str, groups: int) -> tuple[str, str]:

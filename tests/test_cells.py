@@ -188,3 +188,59 @@ def test_session_errors(spark):
     with pytest.raises(OperatorError) as e:
         s.run()
     assert isinstance(e.value.__cause__, AlreadyRunning)
+
+
+def test_session_actions_and_trace(spark):
+    s, said = Session(spark), []
+    for n in "ab":
+        s.source(n, lambda n=n: spark.range(ord(n)))
+        s.observe(n)
+    s.trace(said.append)
+    s.run()
+    assert s.act({"a": lambda df: df.count(), "b": lambda df: df.count()}) == {"a": 97, "b": 98}
+    assert said == ["pass 0 starts", "pass 0 ends", "made a", "made b"]
+
+
+def test_python_functions(spark):
+    from deltaweave.functions import udfs
+
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "k int, s string")
+
+    def twice(s, k):
+        return None if s is None else s * k
+
+    assert [r[0] for r in df.orderBy("k").select(udfs.scalar(twice, "string")("s", "k")).collect()] == ["ab", None]
+
+    def bad(s):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="bad"):
+        df.select(udfs.scalar(bad, "string")("s")).collect()
+    most = udfs.aggregate(lambda v: v, max, "long")
+    assert spark.range(5).agg(most("id")).first()[0] == 4
+
+
+def test_identifiers(spark):
+    from deltaweave.functions import identifiers as ids
+
+    row = spark.range(1).select(ids.text(ids.parse(F.lit(""))), ids.parse(F.lit("xyz")), ids.is_zero(ids.parse(F.lit("0" * 32))), ids.short(ids.parse(F.lit("0" * 24 + "DEADBEEF")))).first()
+    assert list(row) == [ids.ZERO, None, True, "deadbeef"]
+
+
+def test_streams_forget_nothing_between_passes(spark):
+    from deltaweave.streaming import runner, stateful
+
+    rows = spark.createDataFrame([(1, v, v, x) for v, x in enumerate([0, 10, 12, 30, 29, 50])], "k long, version long, seq long, v long")
+    for groups in (1, 3, 6):
+        s = runner.stream(spark, *runner.passes(rows, "version", groups))
+        out = runner.Passes(stateful.cutoff(s, [("k", "long")], lambda old, new: abs(new - old) < 5)).run()
+        assert sorted((r.seq, r.held) for r in out.collect()) == [(1, 10), (3, 30), (5, 50)]
+
+
+def test_a_fold_taken_twice_counts_once():
+    from deltaweave.streaming.runner import Maintained
+
+    fold = Maintained()
+    for n, d in ((0, 5), (1, 7), (1, 7), (2, 1)):
+        fold.take(n, d)
+    assert fold.total == 13
