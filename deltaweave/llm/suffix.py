@@ -5,7 +5,8 @@ earlier in the same one. Strings never reach over documents, and are judged on t
 
 1. Anchors bring equal strings together. Of the k-byte grams in each window of ``length`` bytes the one of
    least hash is an anchor, so equal strings hold equal anchors at equal places. Anchors whose gram
-   occurs once are done with; they are nearly all outside repeated text.
+   occurs once are done with; they are nearly all outside repeated text. Others go on with no more of what
+   precedes and follows them than the windows reach in which they are least.
 2. The occurrences of one gram are rows of a Burrows-Wheeler matrix: sorted by what follows, they carry what
    precedes. Backward extension, one byte a level, sorts the rows stably by the byte before them (the
    last-to-first step) and splits each interval by it, breadth first over all intervals of all grams. Common
@@ -60,15 +61,22 @@ def gram_hash(sums: np.ndarray, at: np.ndarray | slice, k: int) -> np.ndarray:
     return mix((sums[at + k] - sums[at]) * inverse[at])
 
 
+def minima(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the gram at each place, least of them in the window of ``length`` bytes from each place; 0 where the
+    window reaches over texts)."""
+    g = gram_hash(prefix(data), slice(None), k)
+    least = _slide(g, length - k + 1, np.minimum)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    least[text[: len(least)] != text[length - 1 :]] = 0
+    return g, least
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the grams that are least in some window of ``length`` bytes of a text."""
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    g = gram_hash(prefix(data), slice(None), k)
+    g, least = minima(data, offsets, length, k)
     width = length - k + 1
-    least = _slide(g, width, np.minimum)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    least[text[: len(least)] != text[length - 1 :]] = 0
     padded = np.concatenate([np.zeros(width - 1, _U), least, np.zeros(width - 1, _U)])
     at = np.flatnonzero((_slide(padded, width, np.maximum) == g) & (g > 0))
     return at, g[at]
@@ -191,19 +199,26 @@ def contexts(docs: DataFrame, places: DataFrame, buckets: int, length: int, k: i
                 count = np.array([len(x) // 4 for x in found])
                 text = np.repeat(np.arange(end - first), count)
                 place = np.frombuffer(b"".join(found), "<i4").astype(np.int64)
-                value = gram_hash(prefix(data), offsets[text] + place, k)
+                if not len(text):
+                    continue
+                g, least = minima(data, offsets, length, k)
+                whole = offsets[text] + place
+                value = g[whole]
+                windows = np.concatenate([np.zeros(reach, _U), least, np.zeros(length, _U)])
                 wide = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(reach + k, np.uint8)])
-                before = np.minimum(place, reach)
-                behind = np.minimum(np.diff(offsets)[text] - place - k, reach)
                 steps = np.arange(reach)
                 for a in range(0, len(text), 20_000):
                     cut = slice(a, a + 20_000)
-                    at = (offsets[text[cut]] + place[cut])[:, None] + reach
-                    left = np.where(steps < before[cut, None], wide[at - 1 - steps], 0)
-                    right = np.where(steps < behind[cut, None], wide[at + k + steps], 0)
+                    # only strings in which this gram is the least have it as their anchor; they start at these places
+                    own = windows[whole[cut][:, None] + np.arange(reach + 1)] == value[cut][:, None]
+                    before = reach - own.argmax(axis=1)
+                    behind = reach - own[:, ::-1].argmax(axis=1)
+                    at = whole[cut][:, None] + reach
+                    left = np.where(steps < before[:, None], wide[at - 1 - steps], 0)
+                    right = np.where(steps < behind[:, None], wide[at + k + steps], 0)
                     doc = batch.column(0).slice(first, end - first).to_numpy()[text[cut]]
                     dk = batch.column(1).slice(first, end - first).to_numpy()[text[cut]]
-                    part = {"value": value[cut], "doc": doc, "dk": dk, "place": place[cut].astype(np.int32), "before": before[cut].astype(np.uint8), "behind": behind[cut].astype(np.uint8), "left": left.astype(np.uint8), "right": right.astype(np.uint8)}
+                    part = {"value": value[cut], "doc": doc, "dk": dk, "place": place[cut].astype(np.int32), "before": before.astype(np.uint8), "behind": behind.astype(np.uint8), "left": left.astype(np.uint8), "right": right.astype(np.uint8)}
                     sent, marks = _once(part, reach)
                     sent["high"] = sent["low"] = np.full(len(sent["dk"]), -1, np.int8)
                     yield _pack((sent["value"] % _U(buckets)).astype(np.int64), **{n: sent[n] for n in _SENT})
