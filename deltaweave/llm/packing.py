@@ -21,6 +21,7 @@ are packed each. No documents: no rows.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from deltaweave.llm.text import owners, prefix, slices, span_hash
 LENGTH = 2048
 END_ID = 1
 WINDOW_SEQUENCES = 128
-SLICE = 4_000_000
+SLICE = 2_500_000
 
 
 class Chunks:
@@ -44,10 +45,9 @@ class Chunks:
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.special = [str(t.content).encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self._whole = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
         self.fast = None
         if ranks:
             import tiktoken
@@ -59,6 +59,15 @@ class Chunks:
             for k, v in table.items():
                 self.bytes_of[v] = len(k)
 
+    @property
+    def whole(self):  # noqa: ANN201
+        """The tokenizer of the file; loaded when a chunk needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     @staticmethod
     def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where chunks begin, and the end."""
