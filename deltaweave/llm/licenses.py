@@ -7,6 +7,10 @@ with ``BANDS`` bands of one row it is retrieved with probability 1 - (1 - 0.176)
 64. Retrieved pairs are kept where the window's shingles contain at least ``LEAST`` of the template's, counted
 exactly; overlapping windows of one template become one match, counted again over both.
 
+Words are compared without what stands around them: comment leaders, quotes, brackets and other punctuation end
+a word, as white space does, and only ``INNER`` marks between two word characters belong to it ("2.0", "and/or").
+What is left empty is no word, so headers wrapped in "#", "//" or " *" comments have the template's shingles.
+
 A window can share a MinHash with a template only if it holds one of the template's shingles, so windows
 without any are passed over before signatures are made; results are the same.
 
@@ -23,11 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deltaweave.llm.text import LOWER, mix, owners, prefix, slices, span_hash, words
+from deltaweave.llm.text import IS_SPACE, LOWER, mix, owners, prefix, slices, span_hash, words
 
 WIDTH, BANDS, LEAST = 5, 64, 0.75
 _U = np.uint64
 
+#: Marks that belong to a word between two of its characters.
+INNER = "-./'_+"
+_LETTER = np.zeros(256, bool)
+_LETTER[[k for k in range(256) if k >= 128 or chr(k).isalnum()]] = True
+_INNER = np.zeros(256, bool)
+_INNER[list(INNER.encode())] = True
+
 #: Notices that grant or name a license.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
@@ -49,10 +60,27 @@ TEMPLATES = {
 }
 
 
+def in_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words. Of other scripts, U+0080 to U+00BF and U+2000 to U+203F (signs, quotes, dashes,
+    bullets) don't; other characters count as letters."""
+    letter = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC2)
+    letter[lead] = letter[lead + 1] = False
+    lead = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+    letter[lead] = letter[lead + 1] = letter[lead + 2] = False
+    inner = _INNER[data]
+    inner[:1] = inner[-1:] = False
+    edges = offsets[1:-1]  # a mark at the edge of a text has no neighbour
+    edges = edges[(edges > 0) & (edges < len(data))]
+    inner[edges] = inner[edges - 1] = False
+    inner[1:-1] &= letter[:-2] & letter[2:]
+    return letter | inner
+
+
 def sequence(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shingle at each word, bounds of the texts' shingles, starts and ends of words, bounds of the texts' words).
-    Words are of A-Z lower-cased bytes; a text of fewer words has no shingle."""
-    starts, ends, first = words(data, offsets)
+    Words are of A-Z lower-cased bytes without outer punctuation; a text of fewer words has no shingle."""
+    starts, ends, first = words(np.where(in_words(data, offsets), data, np.uint8(0x20)), offsets)
     count = np.diff(first)
     room = np.maximum(count - width + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(room)])
@@ -119,7 +147,8 @@ class Scanner:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, least: float = LEAST) -> DataFrame:
     """One row per match: ``doc_id``, ``license`` (the template's name), ``start`` and ``end`` (code points, end
-    exclusive), ``shared`` and ``size`` (shingles contained and of the template)."""
+    exclusive; with the punctuation that touches the outer words), ``shared`` and ``size`` (shingles contained and
+    of the template)."""
     templates = TEMPLATES if templates is None else templates
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     zero = F.lit(0).cast("long")
@@ -132,10 +161,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: st
                 h, bounds, starts, ends, word = sequence(data, offsets, width)
                 near = np.flatnonzero(np.isin(h, scanner.all))
                 rows = []
+                stops = np.flatnonzero(in_words(data, offsets) | IS_SPACE[data]) if len(near) else near
                 for k in np.unique(np.searchsorted(bounds, near, side="right") - 1).tolist():
                     head = np.cumsum((data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80)
                     for t, s, e, shared in scanner.find(h[bounds[k] : bounds[k + 1]]):
-                        a, b = starts[word[k] + s] - offsets[k], ends[word[k] + e - 1] - offsets[k]
+                        a, b = starts[word[k] + s], ends[word[k] + e - 1]
+                        before, after = np.searchsorted(stops, (a, b))
+                        a = max(stops[before - 1] + 1 if before else 0, offsets[k]) - offsets[k]
+                        b = min(stops[after] if after < len(stops) else len(data), offsets[k + 1]) - offsets[k]
                         rows.append((first + k, scanner.names[t], int(head[a]) - 1, int(head[b - 1]), shared, len(scanner.sets[t])))
                 if rows:
                     of, name, *numbers = zip(*rows)

@@ -204,6 +204,31 @@ def test_licenses_are_found_and_verified(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def wrapped(text, lead, width=10):
+    w = text.split()
+    return "".join(f"{lead}{' '.join(w[k : k + width])}\n" for k in range(0, len(w), width))
+
+
+def test_licenses_in_comments_and_with_other_punctuation(spark):
+    t = licenses.TEMPLATES
+    typographic = t["apache-2.0"].replace('"License"', "“License”")
+    cases = [(name, wrapped(t[name], lead)) for name in ("apache-2.0", "gpl", "mpl-2.0", "mit", "bsd") for lead in ("# ", "// ", " * ", "-- ", "/// ", "> ", ";; ")]
+    cases += [("mit-line", f"{a}Released under the MIT License{b}") for a, b in (("", ""), ("", ","), ("(", ")"), ('"', '."'), ("**", "**!"), ("é «", "»"), ("", "/"))]
+    cases += [("mit-licensed", "This project is licensed under the [MIT License](LICENSE) é"), ("apache-2.0", typographic), ("cc-by-nc-line", "<p>Licensed under CC BY-NC 4.0</p>")]
+    rows = dict(enumerate(cases)) | {900: (None, "Released under the BSD License."), 901: (None, "# Released under\n# the\n"), 902: (None, "-"), 903: (None, "License.")}
+    got = {}
+    for r in licenses.scan(frame(spark, {k: text for k, (_, text) in rows.items()})).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r
+    for k, (name, text) in rows.items():
+        if name is None:
+            assert k not in got
+            continue
+        r = got[k][name]
+        plain = lambda x: re.findall(r"\w+", x.lower())
+        assert r.shared == r.size and plain(text[r.start : r.end])[:3] == plain(t[name])[:3], text
+    assert rows[35][1][got[35]["mit-line"].start :] == "Released under the MIT License"
+
+
 def test_licenses_equal_plain_containment(spark, texts):
     single = {k: v for k, v in licenses.TEMPLATES.items()}
     sets = {k: brute.shingle_set(v) for k, v in single.items()}
