@@ -70,7 +70,7 @@ BAD = frozenset("ad ads advert advertisement banner sponsor sponsored promo nav
 GOOD = frozenset("article content main post entry story text body prose page".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|data-y|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HINT = re.compile(r"[a-z]+")
 _ENDS = re.compile(r"[.!?](?:\s|$)")
 
@@ -86,8 +86,8 @@ class Tree:
     events: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(page: str) -> Tree:
-    """The tree of a page, however broken its markup."""
+def parse(page: str, labels: bool = True) -> Tree:
+    """The tree of a page, however broken its markup. ``labels``: read ``data-y``, where it is 0 or 1."""
     t = Tree()
     open_ = [0]
     at, size = 0, len(page)
@@ -120,10 +120,11 @@ def parse(page: str) -> Tree:
             for a in _ATTR.finditer(m[3] or m[5] or ""):
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if key == "data-y":
-                    label = int(value)
+                    if labels and value in ("0", "1"):
+                        label = int(value)
                 elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
                     hint = 1
-                elif key != "style":
+                elif key in ("class", "id", "role"):
                     words = set(_HINT.findall(value))
                     hint = 1 if words & BAD else hint or (2 if words & GOOD else 0)
             if name == "html" and len(t.tag) == 1:
@@ -226,7 +227,7 @@ class TreeModel:
         """The main text: white space within a block is one space, blocks are joined by a line end."""
         if not page:
             return ""
-        t = parse(page)
+        t = parse(page, labels=False)
         keep = self.marginals(t) >= 0.5
         blocks, now = [], []
         for node, text in [*t.events, (-1, "")]:

@@ -104,6 +104,21 @@ def test_marginals_equal_enumeration():
     assert np.allclose(model.marginals(t), sums / total)
 
 
+def test_attribute_names_are_whole_and_labels_are_for_training():
+    model = html.train(html.labelled_pages(50))
+    page = "<body {}><nav>a</nav><article {}><p {}>One two three. Four five six.</p></article></body>"
+    plain = page.format("", "", "")
+    for x in ('data-year="2024"', 'data-youtube-id="x"', 'data-y="12.5"', "data-y", 'data-y="1"', 'data-y=0', 'aria-hidden="false"', 'data-class="ad"', 'title="a hidden class=ad gem"', 'data-style="display:none"', 'xid=ad', 'alt="it\'s hidden"'):
+        t = html.parse(page.format(x, x, x), labels=False)
+        assert t == html.parse(plain, labels=False), x
+        assert model.text(page.format(x, x, x)) == model.text(plain)
+    for x in ('data-y="12.5"', "data-y", 'data-year="1"', 'data-y="-1"', 'data-y="x"'):
+        assert set(html.parse(page.format(x, x, x)).label) == {-1}
+    assert html.parse('<p DATA-Y = "1">x<i data-y=0>y</i></p>').label == [-1, 1, 0]
+    for x in ("hidden", "hidden=''", "class=ad hidden", "data-a='1' hidden/", "style='display: none'", "Class = 'x ad'", "id=ad", "id='story'class=ad"):
+        assert html.parse(f"<div {x}>x</div>").hint[1] == 1, x
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain words only"), (4, "u", deep), (5, "u", "<p <b x='>unclosed"), (6, "u", "<script>var a='</p>'</script><article><p>A&amp;b &lt;c&gt; &nbsp; d.</p><p>E\n\n f.</p></article>"), (6, "u", "<script>")]
