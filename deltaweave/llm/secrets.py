@@ -3,8 +3,9 @@
 Two first-order models over the characters of identifiers, one of random strings and one of ordinary
 identifiers, are estimated from labelled samples: what the base patterns match is labelled secret (with
 strings drawn from a seeded generator, so that every alphabet is seen), what stands outside is ordinary.
-A run of identifier characters becomes a span of kind ``markov`` when the log-likelihood ratio of the two
-models, in total and per character, passes the thresholds and the run touches no base span.
+A run of identifier characters outside the base spans becomes a span of kind ``markov`` when the log-likelihood
+ratio of the two models, in total and per character, passes the thresholds. A base span cuts a run in parts, and
+each part counts by itself.
 
 The models are fitted on about ``TRAIN_DOCS`` documents, drawn by a hash of the id; counts come back as
 one table of fixed size. Scanning is one pass over whole texts without a shuffle.
@@ -81,9 +82,11 @@ class Markov:
         wide[:_K, :_K] = log(secret) - log(ordinary)
         return cls(wide)
 
-    def runs(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, start, end) in bytes of the slice, of runs that pass the thresholds."""
+    def runs(self, data: np.ndarray, offsets: np.ndarray, taken: list[tuple[int, int]] = ()) -> Iterator[tuple[int, int, int]]:
+        """(text, start, end) in bytes of the slice, of runs outside ``taken`` that pass the thresholds."""
         c = _CLASS[data]
+        for s, e in taken:
+            c[s:e] = _K
         inside = np.zeros(len(data) + 2, np.int8)
         inside[1:-1] = c < _K
         starts = np.flatnonzero((inside[1:-1] == 1) & (inside[:-2] == 0))
@@ -148,13 +151,15 @@ def scan(docs: DataFrame, model: Markov, *, text: str = "text") -> DataFrame:
             column = batch.column(batch.schema.get_field_index(text))
             values = column.to_pylist()
             spans = [base_spans(v) if v else [] for v in values]
-            for first, _, data, offsets in slices(column):
-                for k, s, e in model.runs(data, offsets):
+            for first, end, data, offsets in slices(column):
+                taken = []
+                for k in range(end - first):
+                    if spans[first + k]:
+                        lead = np.flatnonzero((data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80) + offsets[k]
+                        taken += [(lead[s], lead[e - 1] + 1) for s, _, e in spans[first + k]]  # they end in one byte
+                for k, s, e in model.runs(data, offsets, taken):
                     start = int(np.count_nonzero((data[offsets[k] : s] & 0xC0) != 0x80))
-                    end = start + e - s  # characters of the alphabet have one byte
-                    own = spans[first + k]
-                    if not any(a < end and start < b for a, kind, b in own if kind < 3):
-                        own.append((start, 3, end))
+                    spans[first + k].append((start, 3, start + e - s))  # characters of the alphabet have one byte
             found = pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(x)] for x in spans], pa.list_(kinds))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "secrets"])
 

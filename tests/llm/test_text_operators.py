@@ -175,6 +175,30 @@ def test_markov_models_tell_random_strings(spark, texts):
     assert false <= 0.01 * len(plain)
 
 
+def test_secrets_beside_base_spans_are_found(spark, texts):
+    model = secrets.train(frame(spark, texts))
+    r = random.Random(5)
+    draw = lambda n, a=secrets.ALPHABET[:62]: "".join(r.choices(a, k=n))
+    joined = []
+    for _ in range(50):
+        access, hexa, other = "AKIA" + draw(16, secrets.ALPHABET[26:62]), draw(32, "0123456789abcdef"), draw(40)
+        joined += [(f"{access}/", other, ""), (f"{hexa}/", other, ""), (f"{hexa}-", other, ""), ("", other, f"/{access}"), ("", other, f"/{hexa}/{draw(40)}")]
+    rows = {k: f"é the key {a}{b}{c} ß and the words after" for k, (a, b, c) in enumerate(joined)}
+    docs = frame(spark, rows)
+    hits = 0
+    for x in secrets.scan(docs, model).collect():
+        spans = sorted((s.start, s.end) for s in x.secrets)
+        assert all(e <= s for (_, e), (s, _) in zip(spans, spans[1:]))
+        assert [(s.start, secrets.KINDS.index(s.kind), s.end) for s in x.secrets if s.kind != "markov"] == plain_spans(rows[x.doc_id])
+        at = rows[x.doc_id].index(joined[x.doc_id][1])
+        hits += any(s.kind == "markov" and s.start <= at and at + 40 <= s.end for s in x.secrets)
+    clean = {x.doc_id: x.text for x in secrets.redact(docs, model).collect()}
+    assert hits > 0.9 * len(rows)
+    assert sum(joined[k][1] in t for k, t in clean.items()) == len(rows) - hits
+    short = {0: "AKIA" + "B" * 16 + "/" + draw(18), 1: "my_first_production_key_for_" + "api_key=abcdefgh"}
+    assert all(s.kind != "markov" for x in secrets.scan(frame(spark, short), model).collect() for s in x.secrets)
+
+
 def test_redaction_and_awkward_tables(spark):
     model = secrets.train(empty(spark))
     assert secrets.scan(empty(spark), model).count() == 0
