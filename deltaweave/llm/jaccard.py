@@ -422,7 +422,11 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "spare0", "spare1")))
     chosen = named.join(common, "node").where("common0 > spare0 or common1 > spare1").select("node", "rep", F.col("n").alias("_n"))
     found = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("node", F.col("_n").alias("n"), "text")
-    texts = stage(_same_set(found, width).dropDuplicates(["node"]), "texts")
+    whole = _same_set(found, width).dropDuplicates(["node"])
+    if not sets.where("doc_id is null and n > 0").isEmpty():  # sets that only rows without an id have
+        nameless = _with_node(docs.where("doc_id is null").select("text"), width).dropDuplicates(["node"])
+        whole = whole.union(nameless.join(chosen.where("rep is null").select("node"), "node", "left_semi"))
+    texts = stage(whole, "texts")
     release(spark)
 
     size = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -473,6 +477,19 @@ def _same_set(found: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(_rows(run, width, 2), found.schema)
 
 
+def _with_node(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (node, n, text) for rows (text)."""
+
+    def run(batch, first, end, owner, h):  # noqa: ANN001
+        texts = end - first
+        node = fingerprints(owner, h, texts).view(np.int64)
+        n = np.bincount(owner, minlength=texts)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), batch.column(0).slice(first, texts)], ["node", "n", "text"])
+
+    zero = F.lit(0).cast("long")
+    return docs.mapInArrow(_rows(run, width, 0), docs.select(zero.alias("node"), zero.alias("n"), "text").schema)
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options: object) -> DataFrame:
     """The documents with one of each component left: the one with the smallest id. Rows without an id stay."""
     joined = link(docs, doc_id=doc_id, **options)

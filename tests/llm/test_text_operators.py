@@ -140,6 +140,17 @@ def test_links_of_awkward_tables(spark):
     assert sorted(r.doc_id or 0 for r in jaccard.keep_one(docs).collect()) == [0, 1, 2, 3]
 
 
+def test_documents_without_an_id_link_others(spark):
+    w = [f"w{k}" for k in range(400)]
+    part = lambda k: " ".join(w[10 * k : 10 * k + 74])
+    rows = [(1, part(1)), (None, part(2)), (3, part(3)), (None, part(4)), (None, part(5)), (None, part(5)), (6, part(6)), (None, part(20)), (None, part(21)), (9, part(30)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.link(docs).collect())
+    one = [(k, 70, 1) for k in (0, 0, 0, 0, 1, 3, 6)]
+    assert got == sorted([*one, (9, 70, 9), *((0, k, 0) for k in (0, 0, 70, 70))])
+    assert sorted(r.doc_id or 0 for r in jaccard.keep_one(docs).collect()) == [*[0] * 8, 1, 9]
+
+
 # secrets
 
 
