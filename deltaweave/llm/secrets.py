@@ -139,11 +139,11 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_d
     return Markov.fit(secret + _pairs(generated()), ordinary)
 
 
-def scan(docs: DataFrame, model: Markov, *, text: str = "text") -> DataFrame:
-    """The documents with ``secrets``: an array of (kind, start, end), in code points, end exclusive, ordered by
-    start and then kind. Columns of the documents are kept; an own column named ``secrets`` is replaced."""
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "secrets"))
-    schema = docs.withColumn("secrets", F.lit(None).cast("array<struct<kind:string,start:long,end:long>>")).schema
+def scan(docs: DataFrame, model: Markov, *, text: str = "text", into: str = "secrets") -> DataFrame:
+    """The documents with ``into``: an array of (kind, start, end), in code points, end exclusive, ordered by
+    start and then kind. Columns of the documents are kept; an own column with that name is replaced."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != into))
+    schema = docs.withColumn(into, F.lit(None).cast("array<struct<kind:string,start:long,end:long>>")).schema
     kinds = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def scan(docs: DataFrame, model: Markov, *, text: str = "text") -> DataFrame:
                     start = int(np.count_nonzero((data[offsets[k] : s] & 0xC0) != 0x80))
                     spans[first + k].append((start, 3, start + e - s))  # characters of the alphabet have one byte
             found = pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(x)] for x in spans], pa.list_(kinds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, into])
 
     return docs.mapInArrow(find, schema)
 
@@ -169,14 +169,15 @@ def scan(docs: DataFrame, model: Markov, *, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, model: Markov, *, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by ``mask``; overlapping spans share one."""
     names = docs.columns
-    found = scan(docs, model, text=text)
+    own = "secrets" + "_" * max((len(c) for c in names), default=0)  # no column has this name
+    found = scan(docs, model, text=text, into=own)
     schema = docs.schema
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index(text)
             out = []
-            for value, spans in zip(batch.column(k).to_pylist(), batch.column(batch.schema.get_field_index("secrets")).to_pylist()):
+            for value, spans in zip(batch.column(k).to_pylist(), batch.column(batch.schema.get_field_index(own)).to_pylist()):
                 if spans:
                     parts, at = [], 0
                     for x in spans:
