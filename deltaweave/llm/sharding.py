@@ -1,7 +1,7 @@
 """Sharding by sampled splitters.
 
-The key is (hash of the text, id), so equal texts lie side by side and end in one shard unless they alone
-overfill it. Rows are drawn with a chance in proportion to their size, the sample's quantiles become
+The key is (hash of the text, id), so equal texts lie side by side and end in one shard, or in neighbouring
+ones if a boundary of shards falls among them: each row goes by its own middle. Rows are drawn with a chance in proportion to their size, the sample's quantiles become
 boundaries of ranges, and rows are dealt to ranges by them. Ranges that turn out overfull, in bytes or in
 rows, are divided by boundaries drawn again inside them. Sums over the ranges place each range in the whole
 order, and an order within the range places each row, so shards end at exact shares of all bytes.
