@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an own one where it is unset, as in tests on one machine."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset and all runs on this machine, as in tests, an
+    own one; on a cluster that is an error, for executors would write to their own disks."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master or 'the cluster'} share")
         at = f"file://{tempfile.mkdtemp(prefix='deltaweave-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
