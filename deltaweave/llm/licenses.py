@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deltaweave.llm.text import IS_SPACE, LOWER, mix, owners, prefix, slices, span_hash, words
+from deltaweave.llm.text import IS_SPACE, LOWER, mix, owners, slices, span_hash, words
 
 WIDTH, BANDS, LEAST = 5, 64, 0.75
 _U = np.uint64
@@ -86,7 +86,7 @@ def sequence(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     bounds = np.concatenate([[0], np.cumsum(room)])
     if not bounds[-1]:
         return np.zeros(0, _U), bounds, starts, ends, first
-    h = span_hash(prefix(LOWER[data]), starts, ends)
+    h = span_hash(LOWER[data], starts, ends)
     text = owners(bounds)
     at = np.arange(bounds[-1]) - bounds[text] + first[text]
     out = np.zeros(len(at), _U)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from deltaweave.llm.staging import before, stage
-from deltaweave.llm.text import owners, prefix, slices, span_hash
+from deltaweave.llm.text import owners, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -47,7 +48,11 @@ class Chunks:
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         self.path, self._whole = path, None
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
+            added = json.load(f)["added_tokens"]
+        special = [t["content"].encode() for t in added]
+        self.is_special = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True))) if special else b"(?!)").search
+        # a token that takes in white space, or looks at what stands around it, can reach over the end of a chunk
+        self.whole_texts = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added) or any(b" " in t for t in special)
         self.fast = None
         if ranks:
             import tiktoken
@@ -68,12 +73,11 @@ class Chunks:
             self._whole = Tokenizer.from_file(self.path)
         return self._whole
 
-    @staticmethod
-    def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def bounds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where chunks begin, and the end."""
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
-        if len(data) > 1:
+        if len(data) > 1 and not self.whole_texts:
             printable = (data[:-1] > 0x20) & (data[:-1] < 0x7F)
             two = np.zeros(len(data) - 1, bool)  # the end of a two-byte character from U+00C0 on
             two[1:] = (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF) & (data[1:-1] >= 0x80)
@@ -89,7 +93,7 @@ class Chunks:
         plain, odd = [], []
         for k, p in enumerate(parts):
             # a space, then no white space: such parts in a row are one text that is cut between them again
-            (plain if p[:1] == b" " and len(p.split()) == 1 and p[1:2] != b" " and p.isascii() and b"<|" not in p and not p[1:2].isspace() and p[-1:] > b" " else odd).append(k)
+            (plain if p[:1] == b" " and len(p.split()) == 1 and p[1:2] != b" " and p.isascii() and self.is_special(p) is None and not p[1:2].isspace() and p[-1:] > b" " else odd).append(k)
         ids = np.array(self.fast.encode_ordinary(b"".join([parts[k] for k in plain]).decode()), np.int64)
         length = np.array([len(parts[k]) for k in plain], np.int64)
         where = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(length), side="left") + 1
@@ -97,7 +101,7 @@ class Chunks:
         own = {}
         for k in odd:
             p = parts[k]
-            own[k] = self.whole.encode(p.decode(), add_special_tokens=False).ids if any(s in p for s in self.special) else self.fast.encode_ordinary(p.decode())
+            own[k] = self.whole.encode(p.decode(), add_special_tokens=False).ids if self.is_special(p) else self.fast.encode_ordinary(p.decode())
             count[k] = len(own[k])
         first = np.concatenate([[0], np.cumsum(count)])
         out = np.zeros(first[-1], np.int64)
@@ -114,11 +118,10 @@ class Chunks:
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         at = self.bounds(data, offsets)
-        begin, finish = at[:-1], at[1:]
-        h = span_hash(prefix(data), begin, finish)
-        _, example, which = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        ids, count = self._encode([raw[a:b] for a, b in zip(begin[example].tolist(), finish[example].tolist())])
+        begin = at[:-1]
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        which = chunks.indices.to_numpy()
+        ids, count = self._encode(chunks.dictionary.to_pylist())
         first = np.cumsum(count) - count
         size = count[which]
         upto = np.cumsum(size)
@@ -157,16 +160,21 @@ def plan(streams: DataFrame, length: int = LENGTH, window: int = WINDOW_SEQUENCE
     (start, length, sequence_id, offset).
 
     ``shares``: the target part of each source in every window; by default its part of all tokens. A source
-    without a share, or whose queue is empty, leaves its part of the window to the others.
+    that ``shares`` does not name keeps its part of all tokens; one with a share of 0 comes after all others; one
+    whose queue is empty leaves its part of the window to the others.
     """
     totals = streams.groupBy("source").agg(F.sum("n").alias("_of"), F.ceil(F.count("*") / 1000).alias("_nb"))
     everything = totals.agg(F.sum("_of")).first()[0] or 0
-    if shares is None:
-        credit = F.col("_of") / max(everything, 1)
-    else:
-        pairs = [x for k, v in shares.items() for x in (F.coalesce(F.lit(k), F.lit("\0")), F.lit(float(v)))]
-        credit = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("source"), F.lit("\0"))), F.col("_of") / max(everything, 1))
-    totals = totals.select(F.col("source").alias("_s"), "_nb", (credit * (window * length)).alias("_credit"))
+    part = F.col("_of") / max(everything, 1)
+    if shares is not None:
+        given = streams.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "_k string, _share double")
+        totals = totals.join(F.broadcast(given), F.col("source").cast("string").eqNullSafe(F.col("_k")), "left")  # as long as ``shares``
+        part = F.coalesce("_share", part)
+    totals = totals.select(F.col("source").alias("_s"), "_of", "_nb", (part * (window * length)).alias("_credit"))
+    # a source without credit is served once all others are: its rounds begin after theirs
+    last = totals.where("_credit > 0").agg(F.coalesce(F.max(F.ceil(F.col("_of") / F.col("_credit"))), F.lit(0))).first()[0]
+    rest = F.col("_credit") <= 0
+    totals = totals.select("_s", "_nb", F.when(rest, float(window * length)).otherwise(F.col("_credit")).alias("_credit"), F.when(rest, last).otherwise(0).cast("long").alias("_after"))
     docs = streams.join(totals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     unit = F.xxhash64(F.lit(seed), "_row") / F.lit(2.0**64) + 0.5
     docs = docs.withColumn("_b", F.least(F.floor(unit * F.col("_nb")), F.col("_nb") - 1))
@@ -177,8 +185,8 @@ def plan(streams: DataFrame, length: int = LENGTH, window: int = WINDOW_SEQUENCE
     docs = docs.withColumn("_in", F.sum("n").over(w)).join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb"))).drop("_s", "_sb")
     docs = docs.withColumn("_from", F.col("_before") + F.col("_in") - F.col("n"))
     cut = F.explode(F.expr(f"sequence(0L, n - 1, {length}L)")).alias("start")
-    units = docs.select("_row", "source", "_from", "_credit", "n", cut).withColumn("size", F.least(F.lit(length), F.col("n") - F.col("start")))
-    units = units.withColumn("_round", F.ceil((F.col("_from") + F.col("start") + F.col("size")) / F.col("_credit")))
+    units = docs.select("_row", "source", "_from", "_credit", "_after", "n", cut).withColumn("size", F.least(F.lit(length), F.col("n") - F.col("start")))
+    units = units.withColumn("_round", F.col("_after") + F.ceil((F.col("_from") + F.col("start") + F.col("size")) / F.col("_credit")))
     units = units.select("_row", "source", "start", "size", (F.col("_from") + F.col("start")).alias("_pos"), "_round")
     served = before(units, "_round", {"_served": "size"}).withColumnRenamed("_round", "_r")
     w = Window.partitionBy("_round").orderBy("source", "_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltaweave.llm.staging import stage
-from deltaweave.llm.text import distinct, mix, owners, prefix, slices, span_hash, words
+from deltaweave.llm.text import codes, distinct, mix, owners, slices, tuples, words
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_ended")
 
@@ -76,7 +76,6 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 6] = per(_UPPER[data])
     out[:, 7] = per(_LETTER[data])
 
-    poly = prefix(data)
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1]))
     begin = begin[begin < len(data)]
@@ -85,7 +84,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     finish = at_end - closed
     has_word = np.searchsorted(starts, finish) > np.searchsorted(starts, begin)
     line_text = text[begin]
-    lines, line_owner = span_hash(poly, begin, finish)[has_word], line_text[has_word]
+    lines, line_owner = mix(codes(data, begin, finish)[0].astype(np.uint64))[has_word], line_text[has_word]
     count = np.bincount(line_owner, minlength=n)
     kept, _ = distinct(line_owner, lines)
     out[:, 3] = count - np.bincount(kept, minlength=n)
@@ -94,8 +93,8 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 8] = np.bincount(line_owner[_END[data[last]]], minlength=n)
 
     if len(starts) > 2:
-        h = span_hash(poly, starts, ends)
-        three = mix(h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:])
+        word, vocabulary = codes(data, starts, ends)
+        three = mix(tuples([word[:-2], word[1:-1], word[2:]], vocabulary).astype(np.uint64))
         whole = word_text[2:] == word_text[:-2]
         at = np.flatnonzero(whole)
         twice = at[repeated(word_text[at], three[at])]

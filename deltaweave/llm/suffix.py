@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from deltaweave.llm.staging import release, stage
-from deltaweave.llm.text import _grow, mix, prefix, slices
+from deltaweave.llm.text import gram_hash, mix, slices
 
 LENGTH, GRAM = 100, 16
 MOST_ROWS = 200_000
@@ -53,18 +53,10 @@ def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(out[: len(x) - width + 1], out[width - have : width - have + len(x) - width + 1]) if have < width else out
 
 
-def gram_hash(sums: np.ndarray, at: np.ndarray | slice, k: int) -> np.ndarray:
-    """Hash of the k bytes from each place."""
-    _, inverse = _grow(len(sums))
-    if isinstance(at, slice):
-        return mix((sums[k:] - sums[:-k]) * inverse[: len(sums) - k])
-    return mix((sums[at + k] - sums[at]) * inverse[at])
-
-
 def minima(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the gram at each place, least of them in the window of ``length`` bytes from each place; 0 where the
     window reaches over texts)."""
-    g = gram_hash(prefix(data), slice(None), k)
+    g = gram_hash(data, k)
     least = _slide(g, length - k + 1, np.minimum)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     least[text[: len(least)] != text[length - 1 :]] = 0

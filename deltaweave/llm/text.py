@@ -4,7 +4,9 @@ An Arrow string column is one byte buffer with offsets. The helpers cut a batch
 about ``SLICE_BYTES`` made of whole texts (a longer text is a slice of its own), so memory follows
 the slice and never the batch, and no text is cut short. Nulls count as empty texts.
 
-Hashes are 64-bit: a polynomial over the bytes modulo 2**64, finished with an avalanche mix.
+Hashes are 64-bit. A span's bytes are cut in lanes of eight; every lane is mixed with its number and the mixed
+lanes are summed, so no sum over the bytes themselves can cancel. Where a result promises to be exact, ``codes``
+compares the bytes.
 """
 
 from __future__ import annotations
@@ -19,9 +21,8 @@ import pyarrow as pa
 SLICE_BYTES = 1_500_000
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_STEP, _SIZE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 #: The separators of words: \x20 and \x09-\x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -68,28 +69,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial; n + 1 values."""
-    power, _ = _grow(len(data) + 1)
-    out = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=out[1:])
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number, and one for the end; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] for arrays of starts and ends."""
+    lane, size = lanes(data), end - start
+    out = mix((lane[start] & _FIRST[np.minimum(size, 8)]) + _STEP)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        upto = np.cumsum(more)
+        number = np.arange(1, upto[-1] + 1) - np.repeat(upto - more, more)
+        at = np.repeat(start[long], more) + 8 * number
+        left = np.minimum(np.repeat(end[long], more) - at, 8)
+        rest = mix((lane[at] & _FIRST[left]) + (number + 1).astype(_U) * _STEP)
+        out[long] += np.add.reduceat(rest, upto - more)
+    return mix(out + size.astype(_U) * _SIZE)
+
+
+def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each place at which there are k; k is 8 or more."""
+    lane, n = lanes(data), max(len(data) - k + 1, 0)
+    out = mix(lane[:n] + _STEP)
+    for at in range(8, k - 7, 8):
+        out = mix(out * _SIZE + lane[at : at + n])
+    if k % 8:
+        out = mix(out * _SIZE + lane[k - 8 : k - 8 + n])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for arrays of starts and ends, by the sums of ``prefix``."""
-    _, inverse = _grow(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+    """(a number for data[start:end], how many numbers): equal bytes have equal numbers and others don't. Spans
+    ascend and don't overlap."""
+    bounds = np.empty(2 * len(start) + 1, np.int64)
+    bounds[:-1:2], bounds[1::2] = start, end
+    bounds[-1] = end[-1] if len(end) else 0
+    bounds[2:-1:2] = start[1:]
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy()[::2].astype(np.int64), len(found.dictionary)
+
+
+def tuples(parts: list[np.ndarray], n: int) -> np.ndarray:
+    """A number below 2**63 for each row of ``parts``, which are below ``n``: equal rows have equal numbers and
+    others don't."""
+    out, most = parts[0].astype(np.int64), max(n, 1)
+    for part in parts[1:]:
+        if most * n >= 1 << 62:
+            kept, out = np.unique(out, return_inverse=True)
+            most = len(kept)
+        out, most = out * n + part, most * n
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,16 +146,17 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hash) of each text's distinct word shingles, by text.
+def shingle_rows(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, ...]:
+    """(text, hash, first word, number of words) of each place of a word shingle, and (starts, ends) of the words.
 
     Words are of A-Z lower-cased bytes. A text of fewer words has its whole sequence as one.
     """
     data = LOWER[data]
     starts, ends, first = words(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    h = span_hash(prefix(data), starts, ends)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, _U), none, none, starts, ends
+    h = span_hash(data, starts, ends)
     count = np.diff(first)
     text = owners(first)
     index = np.arange(len(h)) - first[text]
@@ -132,9 +168,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
         here = h[np.minimum(at + k, len(h) - 1)]
         factor = _U(pow(0xA24BAED4963EE407 | 1, k + 1, 1 << 64))
         out = out + np.where(left > k, here * factor, _U(0))
-    out = mix(out + np.minimum(left, width).astype(_U))
-    owner = text[at]
-    return distinct(owner, out)
+    left = np.minimum(left, width)
+    return text[at], mix(out + left.astype(_U)), at, left, starts, ends
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of each text's distinct word shingles, by text."""
+    return distinct(*shingle_rows(data, offsets, width)[:2])
 
 
 def distinct(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
