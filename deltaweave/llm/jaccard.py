@@ -8,23 +8,26 @@ sketches are sparse: a piece is kept as the XOR of random words of its set bits.
 in which each bit is a piece. A set is compared in its own band and, if a partner can be smaller, in the
 band before.
 
-1. Equal sets become one node. All pieces are dealt by their value, and each node learns how many of its
-   pieces occur in another set. A node with D + 1 pieces of its own has no partner and is done; this settles
-   almost all documents without a candidate pair.
-2. For the rest, whose texts are written once, bits are ordered by how many sets share them, and each node
-   keeps its rarest floor((1 - t) n) + 1 bits; linked sets share one of them.
-3. Links are verified on whole texts in rounds: each node against one leader of the buckets that still hold
-   several components, then a forest of the pairs whose 2048-bit sketches are near enough, then all such
-   pairs that are left between components. Only what could join two components is compared, so a group of
-   thousands of copies costs about a comparison a copy and round. Buckets are dealt in blocks of at most
-   ``BLOCK`` sets, pair of blocks by pair of blocks, so none is gathered whole.
+1. Equal sets become one node, named by 127 bits. All pieces are dealt by their value, and each node learns how
+   many of its pieces occur in another set. A node with D + 1 pieces of its own has no partner and is done; this
+   settles almost all documents without a candidate pair.
+2. The others, whose texts are written once, are joined on their pieces: pieces are ordered by how many sets share
+   them, and each set keeps its rarest D + 1. Of two linked sets neither has more than D pieces that the other
+   lacks, so the first piece that they share is among the D + 1 of both.
+3. Pairs that meet are verified on whole texts, shingle by shingle and word by word, in rounds: each set against
+   one leader of the buckets that still hold several components, then a forest of the pairs whose 2048-bit sketches
+   are near enough, then all such pairs that are left between components. Only what could join two components is
+   compared: in a bucket the sets outside its largest component meet all others, in blocks of at most ``BLOCK``
+   against ``BLOCK``, so no bucket is gathered whole and a group of thousands of copies costs about a comparison a
+   copy and round.
 
 Values travel as packed arrays, one row per slice of texts and bucket; in a slice a value is sent at most
-twice. Nothing is dropped or capped.
+twice while pieces are counted. Nothing is dropped or capped. Shingles are told apart by 64-bit hashes, which decide
+``n_shingles``; links are decided on the words.
 
 Nulls: a document without text or words is linked with nothing. A null id takes part as a text but cannot
-name a component; its own component is null if it holds null ids alone. Repeated rows are copies. No
-documents: no rows.
+name a component; its own component is null if it holds null ids alone. Rows that repeat an id, with the same text
+or another, are rows of their own; repeated rows are copies. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from deltaweave.llm.staging import components, drop_staged, release, stage
-from deltaweave.llm.text import distinct, mix, owners, shingles, slices
+from deltaweave.llm.text import LOWER, codes, distinct, mix, shingle_rows, shingles, slices
 
 NUM, DEN, WIDTH = 75, 100, 5
 SMALL = 64
 SKETCH_BITS = 2048
-BLOCK = 2048
+BLOCK = 512
 LEADER_ROUNDS = 2
 ENTRIES_PER_BUCKET = 400_000
 _U = np.uint64
@@ -100,11 +103,14 @@ def pieces(owner: np.ndarray, h: np.ndarray, n: np.ndarray, salt: int, num: int
         yield view, np.concatenate(sets), np.concatenate(values), np.where(takes, apart + 1, 0)
 
 
-def fingerprints(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """A 63-bit name (with a last bit of 0) of each text's set."""
+def fingerprints(owner: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each text's set, of 63 bits (with a last bit of 0) and of 64; together they tell sets apart."""
     first = np.searchsorted(owner, np.arange(texts + 1))
-    sums = np.concatenate([[_U(0)], np.cumsum(mix(h ^ _U(0xA0761D6478BD642F)))])
-    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(_U)) & ~_U(1)
+    names = []
+    for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
+        sums = np.concatenate([[_U(0)], np.cumsum(mix(h ^ _U(salt)))])
+        names.append(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(_U)))
+    return names[0] & ~_U(1), names[1]
 
 
 def _rows(run: Callable[[pa.RecordBatch, int, int, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], width: int, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -143,29 +149,31 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def measure(docs: DataFrame, *, doc_id: str, text: str, width: int, num: int, den: int, salt: int) -> DataFrame:
-    """(doc_id, n, node, spare0, spare1): the size and name of each set, and how many pieces beyond D + 1 are filled in
-    its own band and in the one before (negative: too few under this salt)."""
+def measure(docs: DataFrame, *, keep: list[str], text: str, width: int, num: int, den: int, salt: int) -> DataFrame:
+    """``keep`` and (n, node, check, spare0, spare1): the size and names of each set, and how many pieces beyond D + 1 are
+    filled in its own band and in the one before (negative: too few under this salt)."""
     zero = F.lit(0).cast("long")
-    schema = docs.select(F.col(doc_id).alias("doc_id"), *(zero.alias(c) for c in ("n", "node", "spare0", "spare1"))).schema
+    added = ("n", "node", "check", "spare0", "spare1")
+    schema = docs.select(*keep, *(zero.alias(c) for c in added)).schema
 
     def run(batch, first, end, owner, h):  # noqa: ANN001
         texts = end - first
         n = np.bincount(owner, minlength=texts)
         spare = [np.bincount(sets, minlength=texts) - need for _, sets, _, need in pieces(owner, h, n, salt, num, den)]
-        node = fingerprints(owner, h, texts).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, texts), pa.array(n), pa.array(node), *map(pa.array, spare)], schema.names)
+        names = [x.view(np.int64) for x in fingerprints(owner, h, texts)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, texts) for k in range(len(keep))), *map(pa.array, (n, *names, *spare))], schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(_rows(run, width, 1), schema)
+    return docs.select(*keep, text).mapInArrow(_rows(run, width, len(keep)), schema)
 
 
 def paired(docs: DataFrame, buckets: int, *, text: str, width: int, num: int, den: int, salt: int) -> DataFrame:
-    """(node, view, common): of each set and band, how many pieces occur in another set."""
+    """(node, view, common): of each set and band, how many pieces occur in another set. Sets of one 63-bit name
+    count together, which can only make a set go on to the next step."""
 
     def send(batch, first, end, owner, h):  # noqa: ANN001
         texts = end - first
         n = np.bincount(owner, minlength=texts)
-        node = fingerprints(owner, h, texts)
+        node, _ = fingerprints(owner, h, texts)
         for view, sets, value, _ in pieces(owner, h, n, salt, num, den):
             if not len(sets):
                 continue
@@ -241,46 +249,53 @@ def _wide(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def rare_bits(texts: DataFrame, buckets: int, *, width: int, num: int, den: int) -> DataFrame:
-    """(key, node, n): of each set in ``texts`` (node, n, text) the rarest floor((1 - t) n) + 1 bits that other sets
-    share, by the number of sets and then value; bits of its own come first and need no row."""
+def shared_pieces(texts: DataFrame, buckets: int, *, width: int, num: int, den: int, salt: int) -> DataFrame:
+    """(key, node, n): of each set in ``texts`` (node, n, text), in its own band and in the one before, the rarest D + 1
+    pieces that other sets share, by the number of sets and then value; pieces of its own come first and need no row."""
 
     def send(batch, first, end, owner, h):  # noqa: ANN001
-        node = batch.column(0).slice(first, end - first).to_numpy().view(_U)
-        n = batch.column(1).slice(first, end - first).to_numpy()
-        if len(owner):
-            yield _pack((h % _U(buckets)).astype(np.int64), value=h, name=node[owner], size=n[owner].astype(np.int32))
+        texts = end - first
+        node = batch.column(0).slice(first, texts).to_numpy().view(_U)
+        n = np.bincount(owner, minlength=texts)
+        for view, sets, value, need in pieces(owner, h, n, salt, num, den):
+            if len(sets):
+                short = (need - np.bincount(sets, minlength=texts)).astype(np.int32)
+                yield _pack((value % _U(buckets)).astype(np.int64), value=value, name=(node[sets] << _U(1)) | _U(view), size=n[sets].astype(np.int32), short=short[sets])
+
+    kinds = {"value": "<u8", "name": "<u8", "size": "<i4", "short": "<i4"}
+
+    def gathered(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> list[np.ndarray] | None:
+        parts = [[_unpack(b, k, t) for k, t in kinds.items()] for b in batches]
+        return [np.concatenate(x) for x in zip(*parts)] if parts else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_unpack(b, "value", "<u8"), _unpack(b, "name", "<u8"), _unpack(b, "size", "<i4")) for b in batches]
-        if not parts:
+        got = gathered(batches, kinds)
+        if got is None:
             return
-        value, name, size = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(value, kind="stable")
-        value, name, size = value[order], name[order], size[order]
+        order = np.argsort(got[0], kind="stable")
+        value, name, size, short = (x[order] for x in got)
         start, run = _groups(value)
         often = np.diff(np.append(start, len(value)))[run]
         keep = often > 1
         if keep.any():
-            yield _pack((name[keep] % _U(buckets)).astype(np.int64), value=value[keep], name=name[keep], size=size[keep], often=often[keep].astype(np.int32))
+            yield _pack((name[keep] % _U(buckets)).astype(np.int64), value=value[keep], name=name[keep], size=size[keep], short=short[keep], often=often[keep].astype(np.int32))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_unpack(b, "value", "<u8"), _unpack(b, "name", "<u8"), _unpack(b, "size", "<i4"), _unpack(b, "often", "<i4")) for b in batches]
-        if not parts:
+        got = gathered(batches, {**kinds, "often": "<i4"})
+        if got is None:
             return
-        value, name, size, often = (np.concatenate(x) for x in zip(*parts))
+        value, name, size, short, often = got
         order = np.lexsort((value, often, name))
-        value, name, size = value[order], name[order], size[order].astype(np.int64)
+        value, name, size, short = value[order], name[order], size[order].astype(np.int64), short[order]
         start, run = _groups(name)
         shared = np.diff(np.append(start, len(name)))[run]
-        need = size - (num * size + den - 1) // den + 1 - (size - shared)
-        at = np.flatnonzero(np.arange(len(name)) - start[run] < need)
+        at = np.flatnonzero(np.arange(len(name)) - start[run] < short + shared)
         for k in range(0, len(at), 1 << 18):
             p = at[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(value[p].view(np.int64)), "node": pa.array(name[p].view(np.int64)), "n": pa.array(size[p])})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(value[p].view(np.int64)), "node": pa.array((name[p] >> _U(1)).view(np.int64)), "n": pa.array(size[p])})
 
-    packed = "bucket long, value binary, name binary, size binary"
-    met = texts.select("node", "n", "text").mapInArrow(_rows(send, width, 2), packed).repartition(buckets, "bucket").mapInArrow(count, packed + ", often binary")
+    packed = "bucket long, " + ", ".join(f"{k} binary" for k in kinds)
+    met = texts.select("node", "text").mapInArrow(_rows(send, width, 1), packed).repartition(buckets, "bucket").mapInArrow(count, packed + ", often binary")
     return met.repartition(buckets, "bucket").mapInArrow(choose, "key long, node long, n long")
 
 
@@ -323,32 +338,68 @@ def verify(pairs: DataFrame, texts: DataFrame, *, width: int, num: int, den: int
                     order = np.argsort(owner, kind="stable")
                     union, _ = distinct(owner[order], h[order])
                     union = np.bincount(union, minlength=count)
-                    hit = pa.array((union > 0) & (den * (sizes - union) >= num * union))
-                    part = batch.slice(first + f2, count)
-                    yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], ["a", "b"])
+                    part = batch.slice(first + f2, count).filter(pa.array((union > 0) & (den * (sizes - union) >= num * union)))
+                    if part.num_rows:
+                        hit = pa.array(_surely(part.column(2), part.column(3), width, num, den))
+                        yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, forest: bool, block: int = BLOCK, bits: int = SKETCH_BITS) -> DataFrame:
+def _surely(left: pa.Array, right: pa.Array, width: int, num: int, den: int) -> np.ndarray:
+    """Which pairs of texts are linked, given that all are by the hashes of their shingles: where shingles of one hash
+    hold other words, the words themselves are counted."""
+    count = len(left)
+    out = np.ones(count, bool)
+    for _, _, data, offsets in slices(pa.concat_arrays([left, right]), 1 << 62):
+        text, h, at, words, starts, ends = shingle_rows(data, offsets, width)
+        word, _ = codes(LOWER[data], starts, ends)
+        order = np.lexsort((h, text % count))
+        pair, h, at, words = text[order] % count, h[order], at[order], words[order]
+        same = np.flatnonzero((h[1:] == h[:-1]) & (pair[1:] == pair[:-1]))
+        a, b = at[same], at[same + 1]
+        other = words[same] != words[same + 1]
+        for k in range(width):
+            held = words[same] > k
+            other |= held & (word[np.minimum(a + k, len(word) - 1)] != word[np.minimum(b + k, len(word) - 1)])
+        for p in np.unique(pair[same[other]]).tolist():
+            mine = [{tuple(word[i : i + n]) for i, n in zip(at[pair == p].tolist(), words[pair == p].tolist()) if (i >= np.searchsorted(starts, offsets[count])) == side} for side in (False, True)]
+            both = len(mine[0] & mine[1])
+            out[p] = both > 0 and den * both >= num * len(mine[0] | mine[1])
+    return out
+
+
+def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, forest: bool, block: int | None = None, bits: int = SKETCH_BITS) -> DataFrame:
     """(a, b) of pairs in a bucket of ``entries`` (key, node, n, label) that differ in label, can reach the threshold by
     their sizes, and whose sketches are near enough: all of them, or with ``forest`` those that would join what the
-    bucket's earlier pairs leave apart, at most one a set."""
-    size = entries.groupBy("key").agg(F.count("*").alias("_c")).withColumnRenamed("key", "_k")
-    rows = entries.join(size, F.col("key") == F.col("_k")).drop("_k").withColumn("_blocks", F.ceil(F.col("_c") / block)).withColumn("_i", F.pmod(F.xxhash64("node"), "_blocks"))
-    rows = rows.withColumn("_j", F.explode(F.expr("sequence(0L, _blocks - 1)")))
-    rows = rows.select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "node", "n", "label")
+    bucket's earlier pairs leave apart.
+
+    Sets outside the bucket's largest label are its probes; they meet all sets of the bucket. Both are dealt in
+    blocks, and each block of probes meets each block of sets, so few probes cost little however large the bucket.
+    """
+    block = BLOCK if block is None else block
+    size = entries.groupBy("key", "label").agg(F.count("*").alias("_m")).groupBy("key")
+    size = size.agg(F.sum("_m").alias("_c"), F.max("_m").alias("_m"), F.max_by("label", F.struct("_m", "label")).alias("_top")).withColumnRenamed("key", "_k")
+    rows = entries.join(size, F.col("key") == F.col("_k")).withColumn("_all", F.ceil(F.col("_c") / block)).withColumn("_few", F.ceil((F.col("_c") - F.col("_m")) / block))
+    rows = rows.withColumn("probe", F.col("label") != F.col("_top")).withColumn("_i", F.pmod(F.xxhash64("node"), "_all")).withColumn("_j", F.pmod(F.xxhash64(F.lit(1), "node"), "_few"))
+    zero = F.lit(0).cast("long")
+    at = lambda i, j, met, meets: F.struct(i.alias("i"), j.alias("j"), met.alias("met"), meets.alias("meets"))
+    yes, no = F.lit(True), F.lit(False)
+    met = F.transform(F.sequence(zero, F.col("_few") - 1), lambda j: at(F.col("_i"), j, yes, no))
+    meets = F.transform(F.sequence(zero, F.col("_all") - 1), lambda i: at(i, F.col("_j"), no, yes))
+    places = F.when((F.col("_all") == 1) & (F.col("_few") == 1), F.array(at(zero, zero, yes, F.col("probe")))).when(F.col("probe"), F.concat(met, meets)).otherwise(met)
+    rows = rows.select("key", F.explode(places).alias("_p"), "probe", "node", "n", "label").select("key", "_p.i", "_p.j", "_p.met", "_p.meets", "probe", "node", "n", "label")
     rows = rows.join(sketch.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
-    def compare(i, j, own, node, n, label, sk):  # noqa: ANN001
+    def compare(met, meets, probe, node, n, label, sk):  # noqa: ANN001
         root = label.copy()
-        for a in range(len(n)):
-            b = int(np.searchsorted(n, n[a] * den // num, side="right"))
-            at = np.arange(a + 1, b)
-            at = at[root[at] != root[a]]
-            if i != j:
-                at = at[own[at] != own[a]]
+        member = np.flatnonzero(met)
+        size = n[member]
+        for a in np.flatnonzero(meets):
+            low, high = np.searchsorted(size, (-(-n[a] * num // den), n[a] * den // num + 1))
+            at = member[low:high]
+            at = at[(root[at] != root[a]) & (label[at] != label[a]) & (~probe[at] | (node[at] > node[a]))]
             if not len(at):
                 continue
             apart = np.bitwise_count(sk[at] ^ sk[a]).sum(axis=1)
@@ -366,9 +417,7 @@ def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, forest
         last = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            own, node, n, label = (np.concatenate([h[k] for h in held]) for k in range(4))
-            sk = np.concatenate([h[4] for h in held])
-            for x, y in compare(*last[1:], own, node, n, label, sk):
+            for x, y in compare(*(np.concatenate(c) for c in zip(*held))):
                 pending.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
             if sum(map(len, pending)) > 200_000:
                 yield from send()
@@ -382,8 +431,8 @@ def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, forest
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = [batch.column(k).to_numpy() for k in range(7)]
-            sk = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u8").reshape(-1, words)
+            col = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            sk = np.frombuffer(b"".join(batch.column(9).to_pylist()), "<u8").reshape(-1, words)
             change = np.flatnonzero(np.append(True, (col[0][1:] != col[0][:-1]) | (col[1][1:] != col[1][:-1]) | (col[2][1:] != col[2][:-1])))
             for s, e in zip(change, np.append(change[1:], batch.num_rows)):
                 name = (col[0][s], col[1][s], col[2][s])
@@ -391,7 +440,7 @@ def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, forest
                     yield from flush()
                     held.clear()
                 last = name
-                held.append((col[3][s:e], col[4][s:e], col[5][s:e], col[6][s:e], sk[s:e]))
+                held.append((*(c[s:e] for c in col[3:]), sk[s:e]))
         if held:
             yield from flush()
         yield from send()
@@ -399,15 +448,12 @@ def near_pairs(entries: DataFrame, sketch: DataFrame, num: int, den: int, forest
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of every document.
-
-    Two documents are linked when den * |A and B| >= num * |A or B| for their sets of ``width``-word shingles.
-    """
+def _grouped(docs: DataFrame, keep: list[str], width: int, num: int, den: int, leader_rounds: int) -> DataFrame:
+    """``keep``, ``n`` and the columns of ``_GROUP`` of every row of ``docs`` (``keep``, doc_id, text): equal in rows that
+    links join, where n > 0."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for salt in range(8):
-        sets = stage(measure(docs, doc_id="doc_id", text="text", width=width, num=num, den=den, salt=salt), "sets")
+        sets = stage(measure(docs, keep=keep, text="text", width=width, num=num, den=den, salt=salt), "sets")
         if sets.where("spare0 < 0 or spare1 < 0").isEmpty():
             break
         drop_staged(sets)
@@ -419,18 +465,19 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     common = stage(common.groupBy("node").agg(*(F.coalesce(F.sum(F.when(F.col("view") == v, F.col("common"))), F.lit(0)).alias(f"common{v}") for v in (0, 1))), "paired")
     release(spark)
     # a set with D + 1 pieces of its own, in both bands, has no partner
-    named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "spare0", "spare1")))
-    chosen = named.join(common, "node").where("common0 > spare0 or common1 > spare1").select("node", "rep", F.col("n").alias("_n"))
-    found = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("node", F.col("_n").alias("n"), "text")
-    whole = _same_set(found, width).dropDuplicates(["node"])
-    if not sets.where("doc_id is null and n > 0").isEmpty():  # sets that only rows without an id have
-        nameless = _with_node(docs.where("doc_id is null").select("text"), width).dropDuplicates(["node"])
-        whole = whole.union(nameless.join(chosen.where("rep is null").select("node"), "node", "left_semi"))
-    texts = stage(whole, "texts")
+    named = sets.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("spare0", "spare1")))
+    chosen = named.join(common, "node").where("common0 > spare0 or common1 > spare1").select("node", "check", "rep")
+    chosen = stage(chosen, "chosen")
+    # the text of a set is that of any row with the id of one of its rows; ids can repeat with other texts
+    found = docs.join(chosen.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
+    if not chosen.where("rep is null").isEmpty():  # sets that only rows without an id have
+        found = found.union(docs.where("doc_id is null").select("text"))
+    whole = _with_names(found, width).join(chosen.select("node", "check"), ["node", "check"], "left_semi").dropDuplicates(["node", "check"])
+    texts = stage(whole.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()), "texts")
     release(spark)
 
     size = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entries = stage(rare_bits(texts, max(16, -(-size // ENTRIES_PER_BUCKET)), width=width, num=num, den=den), "entries")
+    entries = stage(shared_pieces(texts, max(16, -(-size // ENTRIES_PER_BUCKET)), width=width, num=num, den=den, salt=salt), "entries")
     sketch = stage(sketches(texts, width), "sketches")
     release(spark)
     links, labels, failed = None, None, None
@@ -460,38 +507,57 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         links = fresh if links is None else links.union(fresh)
         labels = stage(components(links), "labels")
         release(spark)
-    merged = sets.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n", "spare0", "spare1").withColumn("label", F.coalesce("label", "node"))
-    least = merged.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("_least")).withColumnRenamed("label", "_l")
-    out = merged.join(least, (F.col("label") == F.col("_l")) & (F.col("n") > 0), "left")
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
+    joined = stage(texts.select("name", "check", "node").join(labels, "node").select(F.col("name").alias("_name"), F.col("check").alias("_check"), "label"), "joined")
+    for used in (common, chosen, texts, entries, sketch):
+        drop_staged(used)
+    out = sets.join(joined, (F.col("node") == F.col("_name")) & (F.col("check") == F.col("_check")), "left")
+    alone = F.col("label").isNull()
+    return out.select(*keep, "n", alone.alias("_g0"), F.coalesce("label", "node").alias("_g1"), F.when(alone, F.col("check")).otherwise(F.lit(0)).alias("_g2"))
 
 
-def _same_set(found: DataFrame, width: int) -> DataFrame:
-    """Rows (node, n, text) whose text has the set that ``node`` names; ids can repeat with other texts."""
+_GROUP = ["_g0", "_g1", "_g2"]
 
-    def run(batch, first, end, owner, h):  # noqa: ANN001
-        node = fingerprints(owner, h, end - first).view(np.int64)
-        part = batch.slice(first, end - first)
-        yield part.filter(pa.array(node == part.column(0).to_numpy()))
 
-    return found.mapInArrow(_rows(run, width, 2), found.schema)
+def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of every document.
+
+    Two documents are linked when den * |A and B| >= num * |A or B| for their sets of ``width``-word shingles.
+    """
+    rows = _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], width, num, den, leader_rounds)
+    least = rows.where("n > 0").groupBy(*_GROUP).agg(F.min("doc_id").alias("_least"))
+    linked = rows.where("n > 0").join(least, _GROUP).select("doc_id", "n", F.col("_least").alias("component_id"))
+    out = linked.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _with_node(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (node, n, text) for rows (text)."""
+def _with_names(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (node, check, n, text) for rows (text)."""
 
     def run(batch, first, end, owner, h):  # noqa: ANN001
         texts = end - first
-        node = fingerprints(owner, h, texts).view(np.int64)
-        n = np.bincount(owner, minlength=texts)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), batch.column(0).slice(first, texts)], ["node", "n", "text"])
+        names = [pa.array(x.view(np.int64)) for x in fingerprints(owner, h, texts)]
+        yield pa.RecordBatch.from_arrays([*names, pa.array(np.bincount(owner, minlength=texts)), batch.column(0).slice(first, texts)], ["node", "check", "n", "text"])
 
     zero = F.lit(0).cast("long")
-    return docs.mapInArrow(_rows(run, width, 0), docs.select(zero.alias("node"), zero.alias("n"), "text").schema)
+    return docs.mapInArrow(_rows(run, width, 0), docs.select(zero.alias("node"), zero.alias("check"), zero.alias("n"), "text").schema)
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options: object) -> DataFrame:
-    """The documents with one of each component left: the one with the smallest id. Rows without an id stay."""
-    joined = link(docs, doc_id=doc_id, **options)
-    gone = joined.where(F.col("component_id") < F.col(doc_id)).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+    """The documents with one row of each component left: the one with the smallest id (a null id is the largest), of
+    repeated rows any one. Documents without words stay.
+
+    Where ids are unique and not null they name the rows; otherwise the rows are numbered and written once first.
+    """
+    names = docs.columns
+    own = "_row" + "_" * max((len(c) for c in names), default=0)  # no column has this name
+    ids = docs.select(F.col(f"`{doc_id}`").alias("_id")).groupBy("_id").count()
+    options = {"width": width, "num": num, "den": den, "leader_rounds": leader_rounds}
+    if ids.where("_id is null or count > 1").isEmpty():
+        joined = link(docs.select(doc_id, text), doc_id=doc_id, text=text, **options)
+        gone = joined.where(F.col("component_id") < F.col(doc_id)).select(F.col(doc_id).alias(own))
+        return docs.join(gone, F.col(f"`{doc_id}`") == F.col(own), "left_anti")
+    docs = stage(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    rows = _grouped(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(own).alias("row")), ["doc_id", "row"], **options).where("n > 0")
+    first = rows.groupBy(*_GROUP).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("_first"))
+    gone = rows.join(first, _GROUP).where("row <> _first.row").select(F.col("row").alias(own))
+    return docs.join(gone, own, "left_anti").select(*(F.col(f"`{c}`") for c in names))
