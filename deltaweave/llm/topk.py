@@ -6,16 +6,18 @@ term. For a query, the sum over terms of the query's weight times the block's ex
 the block. Blocks are scored in order of falling bound until the bound is below the k-th best score so far;
 a block whose bound equals it is still scored, for ties go to the smaller id.
 
-The k-th score starts from a bounded sample of ``SEEDS`` vectors, scored against all queries, so pruning
-holds across tasks. Queries travel in batches of ``BATCH`` rows, each to every group of blocks; tasks hold
-one batch and one group. Only the k best of a task leave it.
+The k-th score starts from a bounded sample of vectors (``SEEDS`` about, ``SEED_BYTES`` at most), scored against all
+queries, so pruning holds across tasks. Queries travel in batches of ``BATCH``. A batch meets the bounds of whole
+groups of blocks first, ``TOGETHER`` groups a row, and a group gets those queries alone whose floor its bound
+reaches; tasks hold one group and one batch's queries. Only the best of a task leave it. How much is passed over
+depends on the vectors: in clusters most blocks are, of vectors drawn evenly from a sphere of many dimensions none.
 
 Scores are whole numbers; products of doubles are exact below 2**53, and larger ones use Python integers,
 held within 64 bits at the ends.
 
-Nulls: vectors that are null, empty or hold a null or non-finite component, and rows without an id, take no
-part. Vectors of other lengths are compared among themselves. Rows that repeat an id are candidates, but
-never for queries of that id; the query is its first row. No vectors: no rows.
+Nulls: vectors that are null or hold a null or non-finite component, and rows without an id, take no part. Vectors
+of other lengths, and empty ones, are compared among themselves. Rows that repeat an id are rows of their own: each
+asks, and is a candidate of the others. No vectors: no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +30,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltaweave.llm.staging import stage
 
-BLOCK, GROUP, BATCH, SEEDS = 64, 2048, 1024, 1024
+BLOCK, GROUP, BATCH, TOGETHER = 64, 2048, 1024, 4096
+SEEDS, SEED_BYTES = 1024, 16_000_000
 EXACT = 2.0**53
 
 
 def valid(vector: Column) -> Column:
-    """True for a vector of finite components."""
+    """True for a vector of finite components; an empty one has no others."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return F.coalesce((F.size(vector) > 0) & F.forall(vector, fine), F.lit(False))
+    return F.coalesce(F.forall(vector, fine), F.lit(False))
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -55,26 +58,34 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def search_group(qid: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query, id, score) of the k best of one group for each query that can pass its floor, and blocks scored."""
-    edges = np.arange(0, len(rows), block)
-    top, low = np.maximum.reduceat(rows, edges), np.minimum.reduceat(rows, edges)
+def bounds(queries: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """No score of a query with a row between ``low`` and ``top`` is greater; one row a query."""
     bound = np.maximum(queries, 0) @ top.T + np.minimum(queries, 0) @ low.T
     slack = 1e-9 * (np.abs(queries) @ np.maximum(np.abs(top), np.abs(low)).T)  # for sums past 2**53 alone
-    bound = np.where(slack * 1e9 < EXACT, bound, bound + slack)
+    return np.where(slack * 1e9 < EXACT, bound, bound + slack)
+
+
+def search_group(queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(place of the query, id, score) of the k best of one group for each query that can pass its floor, and blocks
+    scored. Blocks are scored in runs of 1, 2, 4 and so on, without those whose bound is below the k-th score."""
+    edges = np.arange(0, len(rows), block)
+    bound = bounds(queries, np.maximum.reduceat(rows, edges), np.minimum.reduceat(rows, edges))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     scored = 0
     for n in range(len(queries)):
         order = np.argsort(-bound[n], kind="stable")
+        falling = bound[n, order]
         kth = floor[n]
         score, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in order:
-            if bound[n, b] < kth:
-                break
-            part = slice(edges[b], edges[b] + block)
+        at, run = 0, 1
+        while at < len(order) and falling[at] >= kth:
+            stop = min(at + run, int(np.count_nonzero(falling >= kth)))
+            part = (edges[order[at:stop], None] + np.arange(block)).ravel()
+            part = part[part < len(rows)]
             s, i = _scores(queries[n : n + 1], rows[part])[0], ids[part]
-            scored += 1
-            keep = (s >= kth) & (i != qid[n])
+            scored += stop - at
+            at, run = stop, 2 * run
+            keep = s >= kth
             score, found = np.concatenate([score, s[keep]]), np.concatenate([found, i[keep]])
             if len(score) >= k:
                 best = best_of(score, found, k)
@@ -82,7 +93,7 @@ def search_group(qid: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: n
                 kth = max(kth, score[-1])
         if len(score):
             best = best_of(score, found, k)
-            out.append((np.full(len(best), qid[n]), found[best], score[best]))
+            out.append((np.full(len(best), n), found[best], score[best]))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, scored
@@ -90,8 +101,14 @@ def search_group(qid: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: n
     return q, i, s, scored
 
 
+def _numbers(raw: bytes, kind: type = np.float64, dim: int | None = None) -> np.ndarray:
+    out = np.frombuffer(raw, kind) if raw else np.zeros(0, kind)
+    return out if dim is None else out.reshape(-1, dim)
+
+
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v, dim) in runs of ``size`` of one dim within a partition, ids and values packed."""
+    """Rows (id, v, dim) in runs of ``size`` of one dim within a partition, ids and values packed, with the greatest and
+    least value of each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -99,8 +116,10 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         def flush(dim: int) -> pa.RecordBatch:
             ids = np.concatenate([x[1] for x in held])
             values = np.concatenate([x[2] for x in held])
+            wide = values.reshape(len(ids), dim)
             held.clear()
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([values.tobytes()], pa.binary())})
+            packed = {"ids": ids, "data": values, "top": wide.max(axis=0), "low": wide.min(axis=0)}
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in packed.items()}})
 
         count = 0
         for batch in batches:
@@ -121,63 +140,87 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield flush(held[0][0])
 
-    return rows.select("id", "v", "dim").mapInArrow(run, "dim int, ids binary, data binary")
+    return rows.select("id", "v", "dim").mapInArrow(run, "dim int, ids binary, data binary, top binary, low binary")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the k best of all other rows for each row for
-    which ``queries`` holds. Components count as floor(scale * x)."""
+    which ``queries`` holds. Components count as floor(scale * x).
+
+    A query is looked for among all rows, itself included, and k + 1 are kept; then one row of its id and of its
+    score with itself is left out. It is itself or cannot be told from it.
+    """
     whole = F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = vectors.where(valid(F.col(embedding)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"), queries.alias("_query"))
     rows = rows.withColumn("dim", F.size("v"))
     most = F.array_max(F.transform("v", F.abs))
     lead = F.array_position(F.transform("v", F.abs), most)
     rows = rows.withColumn("_lead", lead * 2 + (F.try_element_at("v", lead.cast("int")) > 0).cast("int"))
-    n = rows.count()
+    n, widest = rows.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0))).first()
     groups = max(1, -(-n // GROUP))
     ordered = rows.repartitionByRange(groups, "dim", "_lead", "id").sortWithinPartitions("dim", "_lead", "id")
     index = stage(_packed(ordered, GROUP).withColumn("group", F.monotonically_increasing_id()), "topk-index")
 
-    chance = min(1.0, SEEDS / max(n, 1))
-    seeds = rows.where(F.xxhash64(F.lit(1), "id") / F.lit(2.0**64) + 0.5 <= chance).orderBy("id").limit(4 * SEEDS)
-    seeds = [(r.id, np.array(r.v)) for r in seeds.select("id", "v").collect()]  # at most 4 SEEDS rows
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim in {len(v) for _, v in seeds}:
-        by_dim[dim] = (np.array([i for i, v in seeds if len(v) == dim]), np.array([v for _, v in seeds if len(v) == dim]))
-    asked = rows.where("_query").dropDuplicates(["id"])
+    few = max(k + 1, min(SEEDS, SEED_BYTES // (32 * max(widest, 1))))
+    seeds = rows.where(F.xxhash64(F.lit(1), "id") / F.lit(2.0**64) + 0.5 <= min(1.0, few / max(n, 1))).orderBy("id").limit(4 * few)
+    seeds = [(r.dim, np.array(r.v)) for r in seeds.select("dim", "v").collect()]  # at most 4 ``few`` rows, ``SEED_BYTES``
+    samples = {dim: np.array([v for d, v in seeds if d == dim]).reshape(-1, dim) for dim in {d for d, _ in seeds} if dim}
     batches = max(1, -(-n // (100 * BATCH)))
-    asked = asked.repartition(batches, "id").sortWithinPartitions("dim", "id")
+    asked = rows.where("_query").repartition(batches, "id").sortWithinPartitions("dim", "id")
 
     def floors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for r in range(part.num_rows):
-                dim = part.column(0)[r].as_py()
-                ids = np.frombuffer(part.column(1)[r].as_py(), np.int64)
-                q = np.frombuffer(part.column(2)[r].as_py()).reshape(-1, dim)
-                floor = np.full(len(ids), -(2**63), np.int64)
-                own, sample = by_dim.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
-                # the k best of the sample are candidates; an id that repeats would count twice, and the query's own never
-                _, once = np.unique(own, return_index=True)
-                if len(once) > k:
-                    s = _scores(q, sample[once])
-                    s[own[once][None, :] == ids[:, None]] = -(2**63)
-                    floor = np.partition(s, len(once) - k, axis=1)[:, len(once) - k]
+                dim, ids, data = (part.column(c)[r].as_py() for c in range(3))
+                floor = np.full(len(ids) // 8, -(2**63), np.int64)
+                sample = samples.get(dim, ())
+                if len(sample) > k:  # the k + 1 best of the sample are candidates
+                    floor = np.partition(_scores(_numbers(data, dim=dim), sample), len(sample) - k - 1, axis=1)[:, len(sample) - k - 1]
                 yield pa.RecordBatch.from_arrays([part.column(c).slice(r, 1) for c in range(3)] + [pa.array([floor.tobytes()], pa.binary())], ["dim", "ids", "data", "floors"])
 
-    asked = stage(_packed(asked, BATCH).mapInArrow(floors, "dim int, ids binary, data binary, floors binary"), "topk-queries")
-    names = index.select("group", F.col("dim").alias("_dim"))
-    per_dim = names.groupBy("_dim").agg(F.collect_list("group").alias("_groups"))  # one number per GROUP vectors
-    sent = asked.join(per_dim, F.col("dim") == F.col("_dim")).select("ids", "data", "floors", F.explode("_groups").alias("_g"))
-    sent = sent.select(F.col("_g"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), "floors")
-    both = sent.join(index, F.col("_g") == F.col("group")).select("dim", "qids", "qdata", "floors", "ids", "data")
+    asked = _packed(asked, BATCH).mapInArrow(floors, "dim int, ids binary, data binary, floors binary")
+    asked = stage(asked.withColumn("batch", F.monotonically_increasing_id()), "topk-queries")
+    shares = max(1, -(-groups // TOGETHER))
+    kept = index.select("dim", F.pmod(F.xxhash64("group"), F.lit(shares)).alias("_share"), F.struct("group", "top", "low").alias("_g"))
+    kept = kept.groupBy("dim", "_share").agg(F.collect_list("_g").alias("_groups"))  # the bounds of about ``TOGETHER`` groups
+    sent = asked.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))).join(kept, ["dim", "_share"])
 
-    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["group", "batch", "places", "qids", "qdata", "floors"]
         for part in parts:
             for r in range(part.num_rows):
-                dim, qid, q, floor, ids, data = (part.column(c)[r].as_py() for c in range(6))
-                found = search_group(np.frombuffer(qid, np.int64), np.frombuffer(q).reshape(-1, dim), np.frombuffer(floor, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[:3]], ["query_id", "vec_id", "score"])
+                dim, batch, ids, data, floor, near = (part.column(c)[r].as_py() for c in range(6))
+                q, ids, floor = _numbers(data).reshape(len(floor) // 8, dim), _numbers(ids, np.int64), _numbers(floor, np.int64)
+                top, low = (np.stack([_numbers(g[n]) for g in near]).reshape(len(near), dim) for n in ("top", "low"))
+                reached = bounds(q, top, low) >= floor[:, None]
+                out, held = [], 0
+                for g in np.flatnonzero(reached.any(axis=0)).tolist():
+                    at = np.flatnonzero(reached[:, g])
+                    out.append((near[g]["group"], batch, *(x.tobytes() for x in (at, ids[at], q[at], floor[at]))))
+                    held += len(out[-1][4]) + 24 * len(at)
+                    if held > 1 << 24:
+                        yield pa.RecordBatch.from_pydict(dict(zip(names, map(pa.array, zip(*out)))))
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(pa.array, zip(*out)))))
+
+    sent = sent.select("dim", "batch", "ids", "data", "floors", "_groups").mapInArrow(choose, "_g long, batch long, places binary, qids binary, qdata binary, floors binary")
+    both = sent.join(index, F.col("_g") == F.col("group")).select("dim", "batch", "places", "qids", "qdata", "floors", "ids", "data")
 
-    hits = both.mapInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in range(part.num_rows):
+                dim, batch, places, qid, q, floor, ids, data = (part.column(c)[r].as_py() for c in range(8))
+                ids, places, qid = (_numbers(x, np.int64) for x in (ids, places, qid))
+                q = _numbers(q).reshape(len(places), dim)
+                n, found, score, _ = search_group(q, _numbers(floor, np.int64), ids, _numbers(data).reshape(len(ids), dim), k + 1)
+                itself = np.array([_scores(x[None], x[None])[0, 0] for x in q], np.int64)
+                own = (found == qid[n]) & (score == itself[n])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (batch * BATCH + places[n], qid[n], found, score, own)], ["asked", "query_id", "vec_id", "score", "own"])
+
+    hits = both.mapInArrow(search, "asked long, query_id long, vec_id long, score long, own boolean")
+    w = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    best = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)
+    best = best.withColumn("_own", F.min(F.when(F.col("own"), F.col("_n"))).over(Window.partitionBy("asked")))
+    best = best.withColumn("rank", F.col("_n") - F.coalesce((F.col("_own") <= F.col("_n")).cast("int"), F.lit(0)))
+    return best.where((F.col("rank") <= k) & ~F.coalesce(F.col("_n") == F.col("_own"), F.lit(False))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
