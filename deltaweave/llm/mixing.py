@@ -11,8 +11,9 @@ words are summed per source and bucket before the shuffle, and only the one buck
 the sample ends is ordered row by row. What comes out is a cutoff per source, which is joined to the
 documents, so a hot source is neither shuffled whole nor sorted in one task.
 
-Nulls: a null text has size 0, a null source is a source of its own (last in order), a null id draws as
-an empty string. Rows that repeat an id share one draw. No documents: no rows.
+Nulls: a null text has size 0, a null source is a source of its own (last in order). A document's draw comes from its
+id. Where ids repeat or are null, all rows are numbered, and the draw comes from id and number: every row then has a
+draw of its own, and a rerun over the same files repeats it. Repeated rows are documents each. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -61,6 +62,23 @@ def source_targets(per_source: DataFrame, source: str, size: str, weights: list[
     return ranked.withColumn("target", target).drop("_n", "_w", "_full", "_level", "_open")
 
 
+def sample(
+    docs: DataFrame,
+    size: Column | None = None,
+    *,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    preference: Column | None = None,
+    seed: int = 5,
+) -> DataFrame:
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` of every row of ``docs``; as ``mix``,
+    which see, but without the other columns. Texts are read once."""
+    return _sampled(docs, [F.col(f"`{doc_id}`").alias(doc_id)], size, doc_id, source, weights, share, most, preference, seed, again=False)
+
+
 def mix(
     docs: DataFrame,
     size: Column | None = None,
@@ -77,31 +95,45 @@ def mix(
 
     ``weights`` repeat over the sources in code-point order, null last. A document's copies never exceed
     ``most``. With a ``preference``, its copies follow it within the source; a document whose share would pass
-    ``most`` stays there. Own columns whose names clash with the added ones are replaced.
+    ``most`` stays there. Own columns whose names clash with these five are replaced; all others stay as they are.
     """
-    added = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    return _sampled(docs, keep, size, doc_id, source, weights, share, most, preference, seed, again=True)
+
+
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
+def _sampled(docs: DataFrame, keep: list[Column], size: Column | None, doc_id: str, source: str, weights: tuple[float, ...], share: float, most: float, preference: Column | None, seed: int, again: bool) -> DataFrame:
+    """``keep`` and ``ADDED`` of every row. ``again``: read ``docs`` a second time for ``keep``, instead of writing it with
+    the sizes. Own columns travel in one struct, so that none meets the columns made here."""
+    ids = docs.select(F.col(f"`{doc_id}`").alias("_id")).groupBy("_id").count()
+    unique = ids.where("_id is null or count > 1").isEmpty()
+    name = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    if not unique and again:  # both readings have to see the same numbers
+        row = "_row" + "_" * max(len(c) for c in docs.columns)  # no column has this name
+        docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+        name = F.concat(name, F.lit("#"), F.col(row).cast("string"))
+    elif not unique:
+        name = F.concat(name, F.lit("#"), F.monotonically_increasing_id().cast("string"))
     size = word_count("text") if size is None else size
     pref = F.lit(1.0) if preference is None else preference.cast("double")
-    narrow = stage(docs.select(F.col(source).alias("_s"), size.alias("size"), pref.alias("_pref"), draw(F.col(doc_id), seed).alias("_u"), F.col(doc_id).cast("string").alias("_id")), "mix-sizes")
+    wide = docs.select(F.struct(*keep).alias("_own"), F.col(f"`{source}`").alias("_s"), size.alias("size"), pref.alias("_pref"), name.alias("_id")).withColumn("_u", draw(F.col("_id"), seed))
+    narrow = stage(wide.drop("_own") if again else wide, "mix-sizes")
     sums = narrow.groupBy("_s").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"), F.sum(F.col("_pref") * F.col("size")).alias("_pref_size"))
     plan = source_targets(sums, "_s", "source_size", list(weights), share, most)
     plan = stage(plan.withColumn("_unit", F.when(F.col("_pref_size") > 0, F.col("target") / F.col("_pref_size")).otherwise(0.0)).withColumn("_n", F.ceil(F.col("_rows") / BUCKET_ROWS)), "mix-plan")
 
-    def ranked(rows: DataFrame, own: str, u: Column) -> DataFrame:
+    def ranked(rows: DataFrame) -> DataFrame:
         """Add each row's certain copies and its bucket and place in the order of its source."""
-        if preference is None:
-            rows = rows.withColumn("_e", F.col("_unit"))
-        else:
-            rows = rows.withColumn("_e", F.least(F.lit(float(most)), F.col("_unit") * F.col("_pref")))
-        rows = rows.withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
-        odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
+        expected = F.col("_unit") if preference is None else F.least(F.lit(float(most)), F.col("_unit") * F.col("_pref"))
+        rows = rows.withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
+        odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
         rows = rows.withColumn("_q", F.when(F.col("_p") > 0, odds))
         return rows.withColumn("_b", F.least(F.floor(F.col("_q") / (1 + F.col("_q")) * F.col("_n")), F.col("_n") - 1))
 
-    same = lambda a, b, left="_s": a[left].eqNullSafe(b["_s"])
-    rows = narrow.join(plan.withColumnRenamed("_s", "_k"), F.col("_s").eqNullSafe(F.col("_k"))).drop("_k")
-    rows = ranked(rows, "_id", F.col("_u")).where("_q is not null")
+    rows = narrow.drop("_own").join(plan.withColumnRenamed("_s", "_k"), F.col("_s").eqNullSafe(F.col("_k"))).drop("_k")
+    rows = ranked(rows).where("_q is not null")
     budget = rows.groupBy("_s").agg(F.sum(F.col("_p") * F.col("size")).alias("_budget")) if preference is not None else plan.select("_s", ((F.col("_unit") - F.floor("_unit")) * F.col("source_size")).alias("_budget"))
     sofar = before(rows, "_b", {"_sofar": "size"}, ["_s"])
     at = sofar.join(budget.withColumnRenamed("_s", "_k"), F.col("_s").eqNullSafe(F.col("_k"))).where("_sofar <= _budget")
@@ -114,8 +146,7 @@ def mix(
     whole_plan = plan.join(cuts.withColumnRenamed("_s", "_k"), F.col("_s").eqNullSafe(F.col("_k")), "left").select(F.col("_s").alias("_ps"), "source_size", "target", "_unit", "_n", "_end", "_cut")
     whole_plan = stage(whole_plan, "mix-cuts")
 
-    out = docs.withColumns({"_ds": F.col(source), "size": size, "_pref": pref, "_id": F.col(doc_id).cast("string"), "_du": draw(F.col(doc_id), seed)})
-    out = ranked(out.join(whole_plan, F.col("_ds").eqNullSafe(F.col("_ps"))), "_id", F.col("_du"))
+    out = ranked((wide if again else narrow).join(whole_plan, F.col("_s").eqNullSafe(F.col("_ps"))))
     extra = F.col("_q").isNotNull() & ((F.col("_b") < F.col("_end")) | ((F.col("_b") == F.col("_end")) & (F.struct("_q", "_id") <= F.col("_cut"))))
     out = out.withColumn("copies", (F.col("_whole") + F.coalesce(extra.cast("long"), F.lit(0))).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *added)
+    return out.select("_own.*", *ADDED)
