@@ -30,12 +30,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    used = ("doc_id", "text", "source")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
     # the mix has columns of its own; those of the documents go through it as one, so no names clash
-    mixed = mixing.mix(docs.select(*used, *([F.struct(*rest).alias("own")] if rest else [])))
-    again = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*(F.col(c) if c in used else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+    own = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
+    mixed = mixing.mix(own).where("copies > 0")
+    again = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select("own.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
