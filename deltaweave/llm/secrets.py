@@ -105,8 +105,8 @@ class Markov:
         total = np.cumsum(step)
         score = total[ends - 1] - total[starts]
         hit = (score >= LEAST_TOTAL) & (score >= LEAST_PER_CHAR * (ends - starts))
-        for s, e in zip(starts[hit], ends[hit]):
-            yield int(np.searchsorted(offsets, s, side="right")) - 1, int(s), int(e)
+        text = np.searchsorted(offsets, starts[hit], side="right") - 1
+        yield from zip(text.tolist(), starts[hit].tolist(), ends[hit].tolist())
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_docs: int = TRAIN_DOCS, seed: int = 9) -> Markov:
@@ -149,19 +149,21 @@ def scan(docs: DataFrame, model: Markov, *, text: str = "text", into: str = "sec
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            values = column.to_pylist()
-            spans = [base_spans(v) if v else [] for v in values]
             for first, end, data, offsets in slices(column):
+                spans = [base_spans(v) if v else [] for v in column.slice(first, end - first).to_pylist()]
                 taken = []
-                for k in range(end - first):
-                    if spans[first + k]:
+                for k, own in enumerate(spans):
+                    if own:
                         lead = np.flatnonzero((data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80) + offsets[k]
-                        taken += [(lead[s], lead[e - 1] + 1) for s, _, e in spans[first + k]]  # they end in one byte
+                        taken += [(lead[s], lead[e - 1] + 1) for s, _, e in own]  # they end in one byte
+                upto = None  # characters before each byte of the slice
                 for k, s, e in model.runs(data, offsets, taken):
-                    start = int(np.count_nonzero((data[offsets[k] : s] & 0xC0) != 0x80))
-                    spans[first + k].append((start, 3, start + e - s))  # characters of the alphabet have one byte
-            found = pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(x)] for x in spans], pa.list_(kinds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, into])
+                    if upto is None:
+                        upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    start = int(upto[s] - upto[offsets[k]])
+                    spans[k].append((start, 3, start + e - s))  # characters of the alphabet have one byte
+                found = pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(x)] for x in spans], pa.list_(kinds))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, found], [*batch.schema.names, into])
 
     return docs.mapInArrow(find, schema)
 
@@ -174,19 +176,21 @@ def redact(docs: DataFrame, model: Markov, *, text: str = "text", mask: str = "[
     schema = docs.schema
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            out = []
-            for value, spans in zip(batch.column(k).to_pylist(), batch.column(batch.schema.get_field_index(own)).to_pylist()):
-                if spans:
-                    parts, at = [], 0
-                    for x in spans:
-                        if x["start"] >= at:
-                            parts += [value[at : x["start"]], mask]
-                        at = max(at, x["end"])
-                    value = "".join([*parts, value[at:]])
-                out.append(value)
-            columns = [pa.array(out, batch.schema.field(k).type) if c == text else batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for whole in batches:
+            k = whole.schema.get_field_index(text)
+            for first, end, _, _ in slices(whole.column(k)):
+                batch = whole.slice(first, end - first)
+                out = []
+                for value, spans in zip(batch.column(k).to_pylist(), batch.column(batch.schema.get_field_index(own)).to_pylist()):
+                    if spans:
+                        parts, at = [], 0
+                        for x in spans:
+                            if x["start"] >= at:
+                                parts += [value[at : x["start"]], mask]
+                            at = max(at, x["end"])
+                        value = "".join([*parts, value[at:]])
+                    out.append(value)
+                columns = [pa.array(out, batch.schema.field(k).type) if c == text else batch.column(batch.schema.get_field_index(c)) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return found.mapInArrow(replace, schema)
