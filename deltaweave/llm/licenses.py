@@ -11,8 +11,8 @@ Words are compared without what stands around them: comment leaders, quotes, bra
 a word, as white space does, and only ``INNER`` marks between two word characters belong to it ("2.0", "and/or").
 What is left empty is no word, so headers wrapped in "#", "//" or " *" comments have the template's shingles.
 
-A window can share a MinHash with a template only if it holds one of the template's shingles, so windows
-without any are passed over before signatures are made; results are the same.
+Signatures are made for all windows of a slice of texts together: per band the shingles are hashed once, and least
+values of blocks of 1, 2, 4 and so on shingles follow from each other; a window is two blocks.
 
 One pass over whole texts without a shuffle; templates are a fixed list of bounded size.
 
@@ -52,6 +52,16 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-disclaimer": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -109,39 +119,67 @@ class Scanner:
                     self.names.append(name)
                     self.sets.append(np.unique(own))
                     self.orders.append({x: k for k, x in reversed(list(enumerate(own.tolist())))})
-        self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, _U)
-        self.lengths = [2 << int(np.ceil(np.log2(max(len(s), 1)))) for s in self.sets]
-        self.by_length: dict[int, dict[tuple[int, int], list[int]]] = {}
-        for k, (own, length) in enumerate(zip(self.sets, self.lengths)):
-            bands_of = self.by_length.setdefault(length, {})
-            for b, value in enumerate(self.signature(own).tolist()):
-                bands_of.setdefault((b, value), []).append(k)
-
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
-        return mix(shingles[None, :] ^ self.seeds[:, None]).min(axis=1)
-
-    def find(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(template, first word, end word, shingles contained) for the shingles of a text in order."""
-        hits = np.flatnonzero(np.isin(h, self.all)) if len(h) else h
+        #: By half of the window length: for each band the templates by their least value.
+        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        for k, own in enumerate(self.sets):
+            half = 1 << int(np.ceil(np.log2(len(own))))
+            table = self.tables.setdefault(half, [{} for _ in self.seeds])
+            for b, value in enumerate(mix(own[None, :] ^ self.seeds[:, None]).min(axis=1).tolist()):
+                table[b].setdefault(value, []).append(k)
+        #: Which low 16 bits those values have; other values need no look into the tables.
+        self.maybe = {half: [np.isin(np.arange(1 << 16), [v & 0xFFFF for v in band]) for band in table] for half, table in self.tables.items()}
+
+    def retrieve(self, h: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(text, template, half the window length, window) of windows that share a least value with a template; window
+        w begins at shingle w times that half."""
+        if not len(h) or not self.tables:
+            return set()
+        widest = max(self.tables)
+        count = -(-np.diff(bounds) // widest)
+        begin = np.concatenate([[0], np.cumsum(count)]) * widest  # each text has whole blocks of every size
+        text = owners(bounds)
+        at = np.arange(len(h)) - bounds[text] + begin[text]
+        filled = begin[1:][count > 0]
+        found = set()
+        line = np.full(begin[-1], ~_U(0))
+        for b, seed in enumerate(self.seeds):
+            line[at] = mix(h ^ seed)
+            blocks, half = line, 1
+            while True:
+                if half in self.tables:
+                    window = blocks.copy()
+                    np.minimum(blocks[:-1], blocks[1:], out=window[:-1])
+                    last = filled // half - 1  # the next block is of another text
+                    window[last] = blocks[last]
+                    for w in np.flatnonzero(self.maybe[half][b][(window & _U(0xFFFF)).astype(np.int64)]).tolist():
+                        for k in self.tables[half][b].get(int(window[w]), ()):
+                            t = int(np.searchsorted(begin, w * half, side="right")) - 1
+                            found.add((t, k, half, w - int(begin[t]) // half))
+                if half == widest:
+                    break
+                blocks, half = np.minimum(blocks[::2], blocks[1::2]), 2 * half
+        return found
+
+    def find(self, h: np.ndarray, windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(template, first word, end word, shingles contained) for the shingles of a text in order and the windows
+        (template, half, window) retrieved in it."""
+        held: dict[int, set[int]] = {}
+        for k, half, w in windows:
+            part = h[w * half : (w + 2) * half]
+            held.setdefault(k, set()).update((np.flatnonzero(np.isin(part, self.sets[k])) + w * half).tolist())
         found = []
-        for length, table in self.by_length.items():
-            step = max(length // 2, 1)
-            windows = np.unique(np.concatenate([hits // step, np.maximum(hits // step - 1, 0)])) if len(hits) else ()
-            held: dict[int, set[int]] = {}
-            for w in windows:
-                part = h[w * step : w * step + length]
-                for k in {k for b, v in enumerate(self.signature(np.unique(part)).tolist()) for k in table.get((b, v), ())}:
-                    held.setdefault(k, set()).update((np.flatnonzero(np.isin(part, self.sets[k])) + w * step).tolist())
-            for k, places in held.items():
-                at = np.array(sorted(places))
-                order = self.orders[k]
-                nth = np.array([order[x] for x in h[at].tolist()])
-                # a place of the template that comes again, or a gap longer than the template, begins another passage
-                cuts = np.flatnonzero((np.diff(nth) <= 0) | (np.diff(at) > len(order))) + 1
-                for run in np.split(at, cuts):
-                    shared = len(np.unique(h[run]))
-                    if shared >= self.least * len(self.sets[k]):
-                        found.append((k, int(run[0]), int(run[-1]) + self.width, shared))
+        for k, places in held.items():
+            if not places:  # the least values of a window and a template can be equal by chance
+                continue
+            at = np.array(sorted(places))
+            order = self.orders[k]
+            nth = np.array([order[x] for x in h[at].tolist()])
+            # a place of the template that comes again, or a gap longer than the template, begins another passage
+            cuts = np.flatnonzero((np.diff(nth) <= 0) | (np.diff(at) > len(order))) + 1
+            for run in np.split(at, cuts):
+                shared = len(np.unique(h[run]))
+                if shared >= self.least * len(self.sets[k]):
+                    found.append((k, int(run[0]), int(run[-1]) + self.width, shared))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -159,12 +197,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: st
         for batch in batches:
             for first, _, data, offsets in slices(batch.column(1)):
                 h, bounds, starts, ends, word = sequence(data, offsets, width)
-                near = np.flatnonzero(np.isin(h, scanner.all))
+                windows: dict[int, list[tuple[int, int, int]]] = {}
+                for k, *window in sorted(scanner.retrieve(h, bounds)):
+                    windows.setdefault(k, []).append(tuple(window))
                 rows = []
-                stops = np.flatnonzero(in_words(data, offsets) | IS_SPACE[data]) if len(near) else near
-                for k in np.unique(np.searchsorted(bounds, near, side="right") - 1).tolist():
+                stops = np.flatnonzero(in_words(data, offsets) | IS_SPACE[data]) if windows else ()
+                for k, near in windows.items():
                     head = np.cumsum((data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80)
-                    for t, s, e, shared in scanner.find(h[bounds[k] : bounds[k + 1]]):
+                    for t, s, e, shared in scanner.find(h[bounds[k] : bounds[k + 1]], near):
                         a, b = starts[word[k] + s], ends[word[k] + e - 1]
                         before, after = np.searchsorted(stops, (a, b))
                         a = max(stops[before - 1] + 1 if before else 0, offsets[k]) - offsets[k]
