@@ -36,7 +36,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from deltaweave.llm.staging import components, drop_staged, release, stage
 from deltaweave.llm.text import LOWER, codes, distinct, mix, shingle_rows, shingles, slices
@@ -44,7 +45,8 @@ from deltaweave.llm.text import LOWER, codes, distinct, mix, shingle_rows, shing
 NUM, DEN, WIDTH = 75, 100, 5
 SMALL = 64
 SKETCH_BITS = 2048
-BLOCK = 512
+BLOCK = 1024
+SALTS = 16
 LEADER_ROUNDS = 2
 ENTRIES_PER_BUCKET = 400_000
 _U = np.uint64
@@ -249,56 +251,91 @@ def _wide(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_INFO = np.dtype([("n", "<i4"), ("short", "<i4")])
+
+
 def shared_pieces(texts: DataFrame, buckets: int, *, width: int, num: int, den: int, salt: int) -> DataFrame:
     """(key, node, n): of each set in ``texts`` (node, n, text), in its own band and in the one before, the rarest D + 1
     pieces that other sets share, by the number of sets and then value; pieces of its own come first and need no row."""
 
+    def packed(bucket: np.ndarray, info: bool, **arrays: np.ndarray) -> pa.RecordBatch:
+        part = _pack(bucket.astype(np.int64), **arrays)
+        part = part.add_column(1, "info", pa.array(np.full(part.num_rows, info)))
+        empty = pa.array([b""] * part.num_rows, pa.binary())
+        return pa.RecordBatch.from_arrays([part.column(c) if c in part.schema.names else empty for c in ("bucket", "info", "value", "name", "extra")], ["bucket", "info", "value", "name", "extra"])
+
     def send(batch, first, end, owner, h):  # noqa: ANN001
         texts = end - first
         node = batch.column(0).slice(first, texts).to_numpy().view(_U)
         n = np.bincount(owner, minlength=texts)
         for view, sets, value, need in pieces(owner, h, n, salt, num, den):
             if len(sets):
-                short = (need - np.bincount(sets, minlength=texts)).astype(np.int32)
-                yield _pack((value % _U(buckets)).astype(np.int64), value=value, name=(node[sets] << _U(1)) | _U(view), size=n[sets].astype(np.int32), short=short[sets])
-
-    kinds = {"value": "<u8", "name": "<u8", "size": "<i4", "short": "<i4"}
+                name = (node << _U(1)) | _U(view)
+                filled = np.bincount(sets, minlength=texts)
+                info = np.zeros(texts, _INFO)
+                info["n"], info["short"] = n, need - filled
+                has = filled > 0
+                yield packed(value % _U(buckets), False, value=_narrow(value // _U(buckets)), name=name[sets])
+                yield packed(name[has] % _U(buckets), True, name=name[has], extra=info[has])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+        told, rest = [], []
+        for b in batches:
+            for out, part in ((told, b.filter(b.column(1))), (rest, b.filter(pc.invert(b.column(1))))):
+                if part.num_rows:
+                    out.append(part)
+        return told, rest
 
-    def gathered(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> list[np.ndarray] | None:
-        parts = [[_unpack(b, k, t) for k, t in kinds.items()] for b in batches]
-        return [np.concatenate(x) for x in zip(*parts)] if parts else None
+    def values(batches: list[pa.RecordBatch]) -> np.ndarray:
+        """Values without the names of their buckets, which came in front of them."""
+        return np.concatenate([_wide(b"".join(raw)) * _U(buckets) + np.repeat(b.column(0).to_numpy(), [len(x) // 6 for x in raw]).astype(_U) for b in batches for raw in [b.column(2).to_pylist()]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches, kinds)
-        if got is None:
+        told, rest = split(batches)
+        yield from told
+        if not rest:
             return
-        order = np.argsort(got[0], kind="stable")
-        value, name, size, short = (x[order] for x in got)
+        value, name = values(rest), np.concatenate([_unpack(b, "name", "<u8") for b in rest])
+        order = np.argsort(value, kind="stable")
+        value, name = value[order], name[order]
         start, run = _groups(value)
         often = np.diff(np.append(start, len(value)))[run]
         keep = often > 1
         if keep.any():
-            yield _pack((name[keep] % _U(buckets)).astype(np.int64), value=value[keep], name=name[keep], size=size[keep], short=short[keep], often=often[keep].astype(np.int32))
+            value, name, often = value[keep], name[keep], often[keep]
+            yield packed(name % _U(buckets), False, value=np.ascontiguousarray(mix(value)).view("V8"), name=name, extra=often.astype(np.int32))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches, {**kinds, "often": "<i4"})
-        if got is None:
+        told, rest = split(batches)
+        if not rest:
             return
-        value, name, size, short, often = got
+        value, name, often = (np.concatenate([_unpack(b, c, t) for b in rest]) for c, t in (("value", "<u8"), ("name", "<u8"), ("extra", "<i4")))
+        known, info = (np.concatenate([_unpack(b, c, t) for b in told]) for c, t in (("name", "<u8"), ("extra", _INFO)))
+        by = np.argsort(known, kind="stable")
         order = np.lexsort((value, often, name))
-        value, name, size, short = value[order], name[order], size[order].astype(np.int64), short[order]
+        value, name = value[order], name[order]
+        own = info[by[np.searchsorted(known[by], name)]]
         start, run = _groups(name)
         shared = np.diff(np.append(start, len(name)))[run]
-        at = np.flatnonzero(np.arange(len(name)) - start[run] < short + shared)
+        at = np.flatnonzero(np.arange(len(name)) - start[run] < own["short"] + shared)
         for k in range(0, len(at), 1 << 18):
             p = at[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(value[p].view(np.int64)), "node": pa.array((name[p] >> _U(1)).view(np.int64)), "n": pa.array(size[p])})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(value[p].view(np.int64)), "node": pa.array((name[p] >> _U(1)).view(np.int64)), "n": pa.array(own["n"][p].astype(np.int64))})
 
-    packed = "bucket long, " + ", ".join(f"{k} binary" for k in kinds)
-    met = texts.select("node", "text").mapInArrow(_rows(send, width, 1), packed).repartition(buckets, "bucket").mapInArrow(count, packed + ", often binary")
+    schema = "bucket long, info boolean, value binary, name binary, extra binary"
+    met = texts.select("node", "text").mapInArrow(_rows(send, width, 1), schema).repartition(buckets, "bucket").mapInArrow(count, schema)
     return met.repartition(buckets, "bucket").mapInArrow(choose, "key long, node long, n long")
 
 
+def distinct_buckets(entries: DataFrame) -> DataFrame:
+    """The entries (key, node, n) without buckets of one set, and with one bucket for all that hold the same sets, as those
+    of one passage do."""
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"_s{k}") for k in (1, 2)]
+    per = entries.groupBy("key").agg(F.count("*").alias("_c"), *names).where("_c > 1")
+    one = per.groupBy("_c", "_s1", "_s2").agg(F.min("key").alias("key"))
+    return entries.join(one.select("key"), "key", "left_semi")
+
+
 def sketches(texts: DataFrame, width: int, bits: int = SKETCH_BITS) -> DataFrame:
     """(node, sketch): the dense parity sketch of each set."""
 
@@ -469,7 +506,8 @@ def _grouped(docs: DataFrame, keep: list[str], width: int, num: int, den: int, l
     chosen = named.join(common, "node").where("common0 > spare0 or common1 > spare1").select("node", "check", "rep")
     chosen = stage(chosen, "chosen")
     # the text of a set is that of any row with the id of one of its rows; ids can repeat with other texts
-    found = docs.join(chosen.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
+    reps = chosen.select(F.col("rep").alias("_rep")).distinct().hint("merge")  # as many as near copies, at any size of table
+    found = docs.join(reps, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
     if not chosen.where("rep is null").isEmpty():  # sets that only rows without an id have
         found = found.union(docs.where("doc_id is null").select("text"))
     whole = _with_names(found, width).join(chosen.select("node", "check"), ["node", "check"], "left_semi").dropDuplicates(["node", "check"])
@@ -477,7 +515,9 @@ def _grouped(docs: DataFrame, keep: list[str], width: int, num: int, den: int, l
     release(spark)
 
     size = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entries = stage(shared_pieces(texts, max(16, -(-size // ENTRIES_PER_BUCKET)), width=width, num=num, den=den, salt=salt), "entries")
+    pieced = stage(shared_pieces(texts, max(16, -(-size // ENTRIES_PER_BUCKET)), width=width, num=num, den=den, salt=salt), "pieces")
+    entries = stage(distinct_buckets(pieced), "entries")
+    drop_staged(pieced)
     sketch = stage(sketches(texts, width), "sketches")
     release(spark)
     links, labels, failed = None, None, None
@@ -524,12 +564,19 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     Two documents are linked when den * |A and B| >= num * |A or B| for their sets of ``width``-word shingles.
     """
     rows = _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], width, num, den, leader_rounds)
-    least = rows.where("n > 0").groupBy(*_GROUP).agg(F.min("doc_id").alias("_least"))
-    linked = rows.where("n > 0").join(least, _GROUP).select("doc_id", "n", F.col("_least").alias("component_id"))
-    out = linked.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    out = _joined(rows, F.min("doc_id")).select("doc_id", "n", F.when(F.col("_of") > 1, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _joined(rows: DataFrame, least: Column) -> DataFrame:
+    """The rows of ``_grouped`` with ``_least`` of their group and ``_of``, its rows; nulls for rows that are alone or have no
+    words. Groups of several rows are few; each goes to ``SALTS`` places, so a large one is not joined in one task."""
+    groups = rows.where("n > 0").groupBy(*_GROUP).agg(least.alias("_least"), F.count("*").alias("_of")).where("_of > 1")
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = rows.withColumn("_salt", F.when(F.col("n") > 0, F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(SALTS))))
+    return salted.join(groups, [*_GROUP, "_salt"], "left").drop("_salt")
+
+
 def _with_names(docs: DataFrame, width: int) -> DataFrame:
     """Rows (node, check, n, text) for rows (text)."""
 
@@ -558,6 +605,6 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wid
         return docs.join(gone, F.col(f"`{doc_id}`") == F.col(own), "left_anti")
     docs = stage(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
     rows = _grouped(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(own).alias("row")), ["doc_id", "row"], **options).where("n > 0")
-    first = rows.groupBy(*_GROUP).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("_first"))
-    gone = rows.join(first, _GROUP).where("row <> _first.row").select(F.col("row").alias(own))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    gone = _joined(rows, first).where("row <> _least.row").select(F.col("row").alias(own))
     return docs.join(gone, own, "left_anti").select(*(F.col(f"`{c}`") for c in names))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -57,12 +59,16 @@ def before(df: DataFrame, bucket: str, amounts: dict[str, str | Column], within:
     return inner.join(outer, cond).select(*(inner[c] for c in within), inner[bucket], *((inner[n] + outer[f"_o_{n}"]).cast("long").alias(n) for n in names))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver's JVM collects garbage."""
-    import gc
-
+def release(spark: SparkSession, most_seconds: float = 10.0) -> None:
+    """Let Spark delete the shuffle files of finished jobs, and wait until it has: it does so when the driver's JVM
+    collects garbage, and what comes next would otherwise lie on disk beside them."""
     gc.collect()
-    spark._jvm.System.gc()
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    began, same, count = time.monotonic(), 0, -1
+    while same < 2 and time.monotonic() - began < most_seconds:
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+        count, same = held().size(), same + 1 if held().size() == count else 0
 
 
 def components(links: DataFrame) -> DataFrame:
