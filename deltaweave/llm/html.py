@@ -81,6 +81,8 @@ _START = re.compile(r"""([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'
 _START_OPEN = re.compile(r"([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A slash that closes the element at once, and does not end an attribute's value without quotes.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _HINT = re.compile(r"[a-z]+")
 _ENDS = re.compile(r"[.!?](?:\s|$)")
 
@@ -191,7 +193,7 @@ def parse(page: str, labels: bool = True) -> Tree:
                 at = close.start() if close else size
                 t.events.append((node, page[begin:at]))
                 begin = at
-            if name not in VOID and not given.rstrip().endswith("/"):
+            if name not in VOID and not _CLOSED.search(given):
                 near.append(len(open_) if name in CLOSED_BY or name in WALLS else near[-1])
                 open_.append(node)
                 count[name] = count.get(name, 0) + 1

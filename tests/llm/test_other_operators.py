@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 from html import unescape
 
 import duckdb
@@ -20,34 +22,48 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def plain_top(rows, k, chosen):
-    vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for i in {i for i, _ in vectors if chosen(i)}:
-        q = next(v for j, v in vectors if j == i)
-        scores = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors if j != i and len(v) == len(q)))[:k]
-        out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)}
+    """How often each result row is due; rows that repeat an id ask and answer one by one."""
+    vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for n, (i, q) in enumerate(vectors):
+        if chosen(i):
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(vectors) if m != n and len(v) == len(q))[:k]
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(scores))
     return out
 
 
-def as_set(df):
-    return {(r.query_id, r.rank, r.vec_id, r.score) for r in df.collect()}
+def counted(df):
+    return Counter((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
 
 
 def test_search_equals_brute_force(spark, data):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    assert as_set(queries.op1_topk(spark, data)) == plain_top(rows, 10, lambda i: i % 100 == 0)
+    assert counted(queries.op1_topk(spark, data)) == plain_top(rows, 10, lambda i: i % 100 == 0)
 
 
 def test_search_of_awkward_vectors(spark):
     r = random.Random(1)
     rows = [(k, [r.gauss(0, 1) for _ in range(8)]) for k in range(300)]
-    rows += [(1000 + k, [0.5] * 8) for k in range(150)] + [(2000, None), (2001, []), (2002, [1.0, None] * 4), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (None, [1.0] * 8), (2005, [3.0, 4.0]), (2010, [1.0, 2.0]), (3000, [1e12] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit(1).alias(c) for c in ("score", "rank", "group", "id", "dim")))
-    got = as_set(topk.top_k(df, F.col("vec_id") % 10 == 0, 7))
-    assert got == plain_top([x for x in rows if x[0] != 3000] + [(3000, [1e12] * 8)], 7, lambda i: i % 10 == 0)
+    rows += [(1000 + k, [0.5] * 8) for k in range(150)] + [(2000, None), (2001, []), (2010, []), (2010, []), (2002, [1.0, None] * 4), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (None, [1.0] * 8), (2005, [3.0, 4.0]), (2010, [1.0, 2.0]), (3000, [1e10] * 8)]
+    rows += [(100, [9.0] * 8), (100, [9.0] * 8), (10, [1.0] * 8), (20, rows[20][1]), (30, [-x for x in rows[30][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit(1).alias(c) for c in ("score", "rank", "group", "id", "dim", "asked", "batch")))
+    assert counted(topk.top_k(df, F.col("vec_id") % 10 == 0, 7)) == plain_top(rows, 7, lambda i: i % 10 == 0)
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_groups_get_the_queries_that_reach_them(spark, monkeypatch):
+    """Vectors in clusters: the result is whole while most groups and queries never meet."""
+    monkeypatch.setattr(topk, "GROUP", 32)
+    monkeypatch.setattr(topk, "TOGETHER", 4)
+    r = random.Random(2)
+    rows = []
+    for c in range(12):
+        centre = [40.0 if k == c else 0.0 for k in range(12)]
+        rows += [(100 * c + k, [x + r.gauss(0, 0.3) for x in centre]) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert counted(topk.top_k(df, F.col("vec_id") % 20 == 0, 5)) == plain_top(rows, 5, lambda i: i % 20 == 0)
+
+
 def test_blocks_are_pruned():
     import numpy as np
 
@@ -55,8 +71,8 @@ def test_blocks_are_pruned():
     near = r.normal(0, 1, (64, 16)) + 50
     far = r.normal(0, 1, (1024, 16)) - 50
     rows = np.floor(np.concatenate([near, far]))
-    *_, scored = topk.search_group(np.array([-1]), np.full((1, 16), 10.0), np.array([-(2**63)]), np.arange(len(rows)), rows, 5)
-    assert scored == 1
+    *_, scored = topk.search_group(np.full((1, 16), 10.0), np.array([-(2**63)]), np.arange(len(rows)), rows, 5)
+    assert scored == 1  # of 17 blocks
 
 
 # pages
@@ -84,6 +100,53 @@ def test_page_texts(spark, data):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+HAND_MADE = [  # (page, main text)
+    ("<html><body><article><h1>Hi</h1><p>Yes</p></article><footer>(c) us</footer></body></html>", "Hi\nYes"),
+    ("<html><body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><div><p>The first paragraph has some words. It goes on.</p><p>The second one also has words in it.</p></div><footer>Copyright us</footer></body></html>", "The first paragraph has some words. It goes on.\nThe second one also has words in it."),
+    ("<html><body><div><p>The first paragraph has some words. It goes on.</p><p>The second one also has words in it.</p></div></body></html>", "The first paragraph has some words. It goes on.\nThe second one also has words in it."),
+    ("<body><article class='post social-share'><h1>A title here</h1><p>Some words of the article. And more of them.</p></article></body>", "A title here\nSome words of the article. And more of them."),
+    ("<body class='sidebar-right'><article><h1>A title here</h1><p>Some words of the article. And more of them.</p></article><footer>All rights reserved by us.</footer></body>", "A title here\nSome words of the article. And more of them."),
+    ("<body><article><p>Some words of the article. And more of them.</p><noscript>enable js</noscript><button>Go</button><template><p>Never. Shown. At all.</p></template></article></body>", "Some words of the article. And more of them."),
+    ("<body><p>One two three four. Five six.</p><p>And more words here. And so on.</p></body>", "One two three four. Five six.\nAnd more words here. And so on."),
+    ("plain words only", "plain words only"),
+    ("<body><h1>A title</h1><p>One two three four. Five six.</p><nav><a href=1>x</a></nav></body>", "A title\nOne two three four. Five six."),
+    ("<body><div class=cookie-notice><p>We use cookies. Do you agree?</p><button>Yes</button></div><main><h1>News of the day</h1><p>It was a day like others. Nothing happened at all.</p><aside class=advert>Buy now!</aside><p>Then it ended.</p></main></body>", "News of the day\nIt was a day like others. Nothing happened at all.\nThen it ended."),
+    ("<body><div id=content><h2>How to bake</h2><p>Take flour and water. Mix them well.</p><ul><li>Flour.</li><li>Water.</li></ul></div><div id=sidebar><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div></body>", "How to bake\nTake flour and water. Mix them well.\nFlour.\nWater."),
+    ("<body><article><h1>T one</h1><p>Words of the story are here. They end.</p></article><section class=comments><h3>Comments</h3><div class=comment><b>Ann</b><p>I liked it. Thanks.</p></div></section></body>", "T one\nWords of the story are here. They end."),
+]
+
+
+def test_hand_made_layouts():
+    model = html.train(html.labelled_pages())
+    hit = said = due = 0
+    for page, want in HAND_MADE:
+        got, plain = Counter(model.text(page).split()), Counter(want.split())
+        hit, said, due = hit + sum((got & plain).values()), said + sum(got.values()), due + sum(plain.values())
+    assert 2 * hit / (said + due) > 0.97
+    for page, want in HAND_MADE[:6]:
+        assert model.text(page) == want
+
+
+def test_broken_pages_take_linear_time():
+    for part in ("<b>", "</p>", '<a x="', "<div>", "<", "<li>", "<!--", "<a '\">", "<td><tr>", "<option><dd>", "<p><li><b>", "</", "&amp", "<script>", "<x y='"):
+        page = part * (1_000_000 // len(part))
+        began = time.process_time()
+        html.parse(page)
+        assert time.process_time() - began < 2, part
+    began = time.process_time()
+    html.parse("<b>" * 150_000 + "<p></p>" * 80_000)
+    assert time.process_time() - began < 2
+
+
+def test_quotes_and_ends_of_tags():
+    text = lambda page: "".join(x for k, x in html.parse(page).events if k >= 0)
+    assert text("<p title='a > b'>x</p>") == "x"
+    assert text('<p title="it\'s > it">x <i data-a=">">y</i></p>') == "x y"
+    assert text("<p class=foo's>x</p><p class=bar's>y</p>") == "xy"
+    assert text('<p title="open>x</p>') == "x"
+    assert text("a < b and c <1 d") == "a < b and c <1 d" and text("a <b c") == "a <b c" and text("x<!-- y") == "x"
+
+
 def test_marginals_equal_enumeration():
     """Messages give the marginals of the whole joint distribution."""
     import itertools
@@ -116,14 +179,15 @@ def test_attribute_names_are_whole_and_labels_are_for_training():
         assert set(html.parse(page.format(x, x, x)).label) == {-1}
     assert html.parse('<p DATA-Y = "1">x<i data-y=0>y</i></p>').label == [-1, 1, 0]
     for x in ("hidden", "hidden=''", "class=ad hidden", "data-a='1' hidden/", "style='display: none'", "Class = 'x ad'", "id=ad", "id='story'class=ad"):
-        assert html.parse(f"<div {x}>x</div>").hint[1] == 1, x
+        assert html.parse(f"<div {x}>x</div>").hint[1] in ((3,) if "story" in x else (1,)), x
 
 
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain words only"), (4, "u", deep), (5, "u", "<p <b x='>unclosed"), (6, "u", "<script>var a='</p>'</script><article><p>A&amp;b &lt;c&gt; &nbsp; d.</p><p>E\n\n f.</p></article>"), (6, "u", "<script>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own")).withColumn("_html", F.lit("own"))
     got = html.extract(df).collect()
+    assert {r._html for r in got} == {"own"}
     assert len(got) == len(rows) and got[0].text == "" and got[5].text == "A&b <c> d.\nE f."
     assert html.extract(df.limit(0)).count() == 0
 
@@ -156,16 +220,30 @@ def test_mix_of_awkward_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert mixing.mix(none).count() == 0
     docs = spark.createDataFrame([(1, None, "en", None, None), (None, "a b", "en", "x", None), (2, "", "en", "x", None), (2, "", "en", "x", None)], DOCS)
-    docs = docs.withColumn("size", F.lit("own")).withColumn("_b", F.lit(1))
-    got = mixing.mix(docs)
-    assert got.count() == 4 and got.columns.count("size") == 1
-    assert {(r.size, r.taken) for r in got.collect()} <= {(0, 0), (2, 2), (2, 4)}
+    names = ["_b", "_e", "_q", "_p", "_whole", "_id", "_pref", "_ds", "_du", "_n", "_s", "_u", "_unit", "_row", "_own", "own", "lvl"]
+    docs = docs.select("*", F.lit("own").alias("size"), *(F.lit("own").alias(c) for c in names))
+    for unique in (docs, docs.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        got = mixing.mix(unique)
+        assert got.count() == unique.count() and got.columns.count("size") == 1
+        assert all(r[c] == "own" for r in got.collect() for c in names)
+        assert {(r.size, r.taken) for r in got.collect()} <= {(0, 0), (2, 2), (2, 4)}
+        assert mixing.sample(unique).columns == ["doc_id", *mixing.ADDED]
     liked = spark.createDataFrame([(k, "w w w w", "en", "x" if k % 2 else "y", None) for k in range(2000)], DOCS)
     mixed = mixing.mix(liked, preference=F.when(F.col("doc_id") < 1000, 1.5).otherwise(0.5))
     by = {x.good: x.c for x in mixed.groupBy((F.col("doc_id") < 1000).alias("good")).agg(F.avg("copies").alias("c")).collect()}
     assert by[True] > 1.2 * by[False]
 
 
+def test_rows_that_repeat_an_id_draw_one_by_one(spark):
+    rows = [(None, "a b c d", "x")] * 3000 + [(7, "a b", "x")] * 3000 + [(k, "w w w", "y") for k in range(3000)] + [(k, "w", None) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for got in (mixing.mix(docs), mixing.sample(docs.withColumn("source", F.col("source")))):
+        if "source" in got.columns:
+            per = got.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()
+            assert all(abs(x.k - x.t) <= 4 for x in per)
+        assert got.count() == len(rows)
+
+
 # sharding
 
 
@@ -179,7 +257,7 @@ def check_shards(rows, got, shards):
         assert sorted(s) == list(range(len(s)))
     largest = max((r.size for r in got), default=0)
     mean = sum(size.values()) / shards
-    assert all(abs(size.get(k, 0) - mean) <= largest for k in range(shards))
+    assert all(abs(size.get(k, 0) - mean) <= largest + mean / 32 for k in range(shards))
     assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((k or 0, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for k, t in rows)
 
 
@@ -196,17 +274,36 @@ def test_shards_of_awkward_tables(spark):
     assert sharding.shard(docs.limit(0), 7).count() == 0
 
 
-def test_copies_stay_together(spark):
+def split_groups(got):
+    return got.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
+
+
+def test_copies_stay_together(spark, data):
     rows = [(k, f"text {k // 4}") for k in range(4000)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10, ranges=64)
-    split = got.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
-    assert split <= 9
+    assert split_groups(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10, ranges=64)) == 0
+    got = queries.op10_sharding(spark, data)
+    share = got.agg(F.sum("size")).first()[0] / 40
+    torn = got.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n"), F.sum("size").alias("b")).where("n > 1").collect()
+    assert all(r.b > share / 4 for r in torn)  # 200 documents in 40 shards: some groups find no room
+
+
+def test_large_groups_stay_whole_or_are_divided(spark):
+    rows = [(k, f"text {k} of its own") for k in range(4000)] + [(k, "in one shard " * 3) for k in range(200)] + [(None, "")] * 400 + [(1, "too many for one " * 4)] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(docs, 10, ranges=64)
+    assert split_groups(got) == 1
+    check_shards(rows, got.collect(), 10)
 
 
 def test_shards_are_written(spark, tmp_path):
-    docs = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")
-    sharding.write_shards(docs, sharding.shard(docs, 5, ranges=8), f"file://{tmp_path}/out")
-    assert spark.read.parquet(f"file://{tmp_path}/out").groupBy("shard").count().count() == 5
+    rows = [(k, f"t{k}") for k in range(50)] + [(None, "n"), (None, "n"), (5, "t5"), (5, "other"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("own")).withColumn("_row", F.lit("own"))
+    sharding.write_shards(docs, f"file://{tmp_path}/out", 5, rows_per_file=4, ranges=8)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    named = lambda k: -1 if k is None else k
+    assert sorted((named(r.doc_id), r.text or "") for r in back.collect()) == sorted((named(k), t or "") for k, t in rows)
+    assert back.groupBy("shard").count().count() == 5 and {r._row for r in back.collect()} == {"own"}
+    assert all(sorted(r.s) == list(range(len(r.s))) for r in back.groupBy("shard").agg(F.collect_list("slot").alias("s")).collect())
 
 
 # shared steps
@@ -234,6 +331,53 @@ def test_sums_before_buckets(spark, n):
 # pipeline
 
 
+def test_pipeline_equals_plain_stages(spark, data):
+    """The stages one after another, each against a plain version on what came before."""
+    from tests.llm import brute
+    from tests.llm.test_text_operators import plain_markov, plain_spans, plain_vote
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from deltaweave.llm import secrets
+
+    steps = dict(corpus_pipeline.STAGES)
+    read = lambda df: {r.doc_id: r for r in df.collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = read(docs)
+    kept, _ = plain_vote([r.text for r in rows.values()])
+    docs = staging.stage(steps["quality_rules"](spark, docs, data), "t1")
+    assert read(docs) == {k: r for (k, r), good in zip(rows.items(), kept) if good}
+    rows = read(docs)
+    docs = staging.stage(steps["near_duplicates"](spark, docs, data), "t2")
+    assert read(docs) == {k: rows[k] for k, (_, c) in brute.components({k: r.text for k, r in rows.items()}).items() if k == c}
+    rows, model = read(docs), secrets.train(docs)
+    docs = staging.stage(steps["secret_scan"](spark, docs, data), "t3")
+    for k, r in read(docs).items():
+        out, at = [], 0
+        for s, _, e in sorted(plain_spans(rows[k].text) + plain_markov(rows[k].text, model)):
+            if s >= at:
+                out += [rows[k].text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert r.text == "".join([*out, rows[k].text[at:]]) and r.n_chars == len(r.text), k
+    assert set(read(docs)) == set(rows)
+    rows = read(docs)
+    con = duckdb.connect()
+    table = docs.toArrow()
+    con.register("documents", table)
+    taken = {k: t // n if n else 0 for k, n, _, _, t in con.sql(sql.SQL["op5_mixing"]).fetchall()}
+    docs = staging.stage(steps["mix_sources"](spark, docs, data), "t4")
+    assert Counter(r.doc_id for r in docs.collect()) == Counter({k: c for k, c in taken.items() if c and rows[k].text.split()})
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    due = Counter()
+    for r in docs.collect():
+        due[r.doc_id] += len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1
+    got, filled = Counter(), Counter()
+    for p in steps["pack_sequences"](spark, docs, data).collect():
+        got[p.doc_id] += p.length
+        filled[p.sequence_id] += p.length
+    assert got == due and all(filled[k] == 2048 for k in range(len(filled) - 1))
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for name, step in corpus_pipeline.STAGES[:-1]:
