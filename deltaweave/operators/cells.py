@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def map_cells(fn: Callable[..., Column], *cells: tuple[DataFrame, str], name: str = "v") -> DataFrame:
-    """A value from any number of one-row cells (frame, column); one row."""
-    renamed = [c.select(F.col(v).alias(f"_c{i}")) for i, (c, v) in enumerate(cells)]
-    joined = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), renamed)  # one row each
+    """A value from any number of one-row cells (frame, column); one row. A cell of several rows is an error when it is
+    read: each is folded to its one row, so nothing is multiplied."""
+    one = lambda c, v: F.when(F.count("*") > 1, F.raise_error(F.lit("a cell has one row"))).otherwise(F.first(v))
+    renamed = [c.agg(F.count("*").alias("_n"), one(c, v).alias(f"_c{i}")).where("_n = 1").drop("_n") for i, (c, v) in enumerate(cells)]
+    joined = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), renamed)  # at most one row each, by their aggregates
     return joined.select(fn(*(F.col(f"_c{i}") for i in range(len(renamed)))).alias(name))
 
 
@@ -36,7 +38,9 @@ class MapN:
         self.inputs = [x for x in self.inputs if x[0] != name]
 
     def values(self) -> DataFrame:
-        """All values in order of input, as one array; no inputs: none."""
+        """All values in order of input, as one array; an empty one without inputs."""
+        if not self.inputs:
+            return SparkSession.active().range(1).select(F.array().alias("vs"))
         parts = [cell.select(F.lit(i).alias("_i"), F.col(c).alias("_v")) for i, (_, cell, c) in enumerate(self.inputs)]
         united = reduce(lambda a, b: a.union(b), parts)
         return united.agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("vs"))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import logging
 import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltaweave.operators.aggregates import UnorderedFold
 from deltaweave.plans.dependencies import find_cycle
+from deltaweave.sources.keyed import Store
+from deltaweave.sources.shared import shared_dir
 
 log = logging.getLogger("deltaweave")
 
@@ -37,7 +41,12 @@ class OperatorError(RuntimeError):
 
 @dataclass
 class Operator:
-    """A named plan: ``plan`` gets its inputs' frames and returns a frame. Subclass or construct."""
+    """A named plan: ``plan`` gets its inputs' frames and returns a frame. Subclass or construct.
+
+    ``cutoff`` gets the last value that went on and the new one; where it is true, nothing above is made again and
+    the last value stays. ``rule`` has ``full`` and ``delta`` (a keyed operator or a fold); with a ``store`` its result
+    is kept up from its input's change set, and an empty change set stops the pass as a cutoff does.
+    """
 
     name: str
     plan: Callable[..., DataFrame]
@@ -52,9 +61,23 @@ class Operator:
     on_necessary: list[Callable[[], None]] = field(default_factory=list)
     on_unnecessary: list[Callable[[], None]] = field(default_factory=list)
     on_invalidated: list[Callable[[], None]] = field(default_factory=list)
+    on_input_changed: list[Callable[[str], None]] = field(default_factory=list)
+    cutoff: Callable[[DataFrame, DataFrame], bool] | None = None
+    rule: object | None = None
+    store: Store | None = None
+    pending: list[DataFrame] = field(default_factory=list)
+    changes: DataFrame | None = None
     stale: bool = True
     value: DataFrame | None = None
     recomputes: int = 0
+    total: int = 0
+    kept_up: int = 0
+    changed: int = 0
+
+
+def same_rows(old: DataFrame, new: DataFrame) -> bool:
+    """A cutoff for values that are equal as bags of rows: no more than one differing row is looked for."""
+    return old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty()
 
 
 class Observer:
@@ -90,6 +113,8 @@ class Session:
         self._lock = threading.Lock()
         self._later: list[Callable[[], None]] = []
         self._needed: set[str] = set()
+        self.changed_now: list[str] = []
+        self.id, self.label, self.metadata = uuid.uuid4().hex, "", {}
 
     # building
 
@@ -109,11 +134,29 @@ class Session:
             raise
         return op
 
-    def source(self, name: str, make: Callable[[], DataFrame]) -> Operator:
-        return self.add(Operator(name, lambda: make(), kind="input"))
+    def source(self, name: str, make: Callable[[], DataFrame], cutoff: Callable[[DataFrame, DataFrame], bool] | None = None) -> Operator:
+        """An input; with ``same_rows`` as cutoff, a write of the value it has is no write."""
+        return self.add(Operator(name, lambda: make(), kind="input", cutoff=cutoff))
+
+    def derive(self, name: str, plan: Callable[..., DataFrame], *inputs: str, kind: str = "map", always: bool = False, cutoff: Callable[[DataFrame, DataFrame], bool] | None = None) -> Operator:
+        return self.add(Operator(name, plan, list(inputs), kind, always, cutoff=cutoff))
 
-    def derive(self, name: str, plan: Callable[..., DataFrame], *inputs: str, kind: str = "map", always: bool = False) -> Operator:
-        return self.add(Operator(name, plan, list(inputs), kind, always))
+    def keyed(self, name: str, table: DataFrame, key: str, buckets: int | None = None) -> Operator:
+        """An input that is a keyed table and takes change sets (``change``)."""
+        store = Store(self.spark, f"{shared_dir(self.spark)}/session-{uuid.uuid4().hex}", key, buckets).create(table)
+        return self.add(Operator(name, store.table, kind="keyed input", store=store))
+
+    def keep(self, name: str, rule: object, source: str) -> Operator:
+        """What ``rule`` makes of a keyed input or result, kept up from its changes: a keyed operator (``full`` of a table
+        and ``delta`` of a change set) or a fold (``delta`` is what is to be added)."""
+        return self.add(Operator(name, rule.full, [source], kind="fold" if isinstance(rule, UnorderedFold) else "keyed", rule=rule))
+
+    def change(self, name: str, changes: DataFrame) -> None:
+        """Give a keyed input a change set (key, kind, old, new); it counts from the next pass on."""
+        if self._lock.locked():
+            self._later.append(lambda: self.operators[name].pending.append(changes))
+        else:
+            self.operators[name].pending.append(changes)
 
     def set(self, name: str, make: Callable[[], DataFrame]) -> None:
         """Replace an input; what needs it is stale. The last write before a pass counts."""
@@ -183,64 +226,59 @@ class Session:
         self._needed = now
 
     def invalidate(self, name: str) -> None:
-        """Drop an operator; its listeners hear of it once."""
-        op = self.operators.pop(name)
-        for call in op.on_invalidated:
-            call()
-        self.observers = [o for o in self.observers if o.name != name]
+        """Drop an operator and all that need it; the listeners of each hear of it once."""
+        gone = {name}
+        while more := {n for n, o in self.operators.items() if n not in gone and gone & set(o.inputs)}:
+            gone |= more
+        self.observers = [o for o in self.observers if o.name not in gone]
+        for n in gone:
+            op = self.operators.pop(n)
+            self._needed.discard(n)
+            for call in op.on_invalidated:
+                call()
+        self._demand()
 
     # passes
 
     def run(self) -> int:
-        """One pass: makes every demanded operator that is stale or has an input made again, inputs first. An error
-        leaves the failed operator and those above it stale, so the next pass tries again."""
+        """One pass: makes every demanded operator that is stale or has an input that changed, inputs first. Where the
+        value stays, what is above rests. An error leaves the failed operator and those above it stale, so the next
+        pass tries again."""
         if not self._lock.acquire(blocking=False):
             raise AlreadyRunning(f"pass {self.version} is running")
         error: BaseException | None = None
-        made: list[str] = []
+        self.changed_now = []
         try:
             for call in self.on_start:
                 call(self.version)
             for s in self.sentinels:
                 s.check()
             for n in self.order([o.name for o in self.observers]):
-                op = self.operators[n]
-                if not (op.stale or op.always or op.value is None or any(i in made for i in op.inputs)):
-                    continue
-                op.stale = True
-                try:
-                    value = op.plan(*(self.operators[i].value for i in op.inputs))
-                except Exception as e:
-                    for call in op.on_error:
-                        call(e)
-                    raise OperatorError(n, e) from e
-                if self._consumers(n) > 1 and not op.always:
-                    value = value.persist()
-                if op.value is not None:
-                    op.value.unpersist()
-                op.value, op.stale = value, False
-                op.recomputes += 1
-                self.counters["recomputed"] += 1
-                made.append(n)
-                log.debug("pass %d made %s", self.version, n)
-        except OperatorError as e:
+                self._step(self.operators[n])
+        except BaseException as e:
             error = e
-            if self.clear_on_error:
+            if isinstance(e, OperatorError) and self.clear_on_error:
                 for n in self._needed:
                     if self.operators[n].stale:
                         for call in self.operators[n].on_aborted:
                             call(e)
+            for n in self.changed_now:  # what is above a changed value was not reached, or will be made from all of it
+                for m, o in self.operators.items():
+                    if n in o.inputs and m not in self.changed_now:
+                        o.stale = True
             raise
         finally:
-            for call in self.on_end:
-                call(self.version, error)
-            if error is None:
-                self.version += 1
-            self._lock.release()
-            later, self._later = self._later, []
-            for write in later:
-                write()
-        for n in sorted(made) if self.deterministic else made:
+            try:
+                for call in self.on_end:
+                    call(self.version, error)
+            finally:
+                if error is None:
+                    self.version += 1
+                self._lock.release()
+                later, self._later = self._later, []
+                for write in later:
+                    write()
+        for n in sorted(self.changed_now) if self.deterministic else self.changed_now:
             for call in self.operators[n].on_update:
                 call(self.operators[n].value)
             for o in self.observers:
@@ -249,6 +287,78 @@ class Session:
                         call(self.operators[n].value)
         return self.version
 
+    def _step(self, op: Operator) -> None:
+        """Make one operator, if it has to be made; one at a time, in order, it is a pass driven by hand."""
+        moved = [i for i in op.inputs if i in self.changed_now]
+        op.changes = None
+        if not (op.stale or op.always or op.value is None or moved or op.pending):
+            return
+        for i in moved:
+            for call in op.on_input_changed:
+                call(i)
+        by_changes = op.value is not None and not op.stale and (op.pending if op.kind == "keyed input" else op.rule is not None and all(self.operators[i].changes is not None for i in moved))
+        op.stale = True
+        try:
+            value, changed = self._kept_up(op) if by_changes else self._made(op)
+        except Exception as e:
+            for call in op.on_error:
+                call(e)
+            raise OperatorError(op.name, e) from e
+        op.stale = False
+        op.recomputes += 1
+        op.kept_up += bool(by_changes)
+        self.counters["recomputed"] += 1
+        log.debug("pass %d made %s", self.version, op.name)
+        if changed:
+            if op.value is not None and op.value is not value:
+                op.value.unpersist()
+            op.value = value
+            op.changed += 1
+            self.counters["changed"] += 1
+            self.changed_now.append(op.name)
+
+    def _made(self, op: Operator) -> tuple[DataFrame, bool]:
+        """The value from whole inputs, and whether it goes on."""
+        for changes in op.pending:
+            op.store.apply(changes)
+        op.pending = []
+        value = op.plan(*(self.operators[i].value for i in op.inputs))
+        if op.kind == "keyed":
+            op.store = Store(self.spark, f"{shared_dir(self.spark)}/session-{uuid.uuid4().hex}", op.rule.key).create(value)
+            value = op.store.table()
+        elif op.kind == "fold":
+            op.total = value.first()[0]
+            value = self._cell(op)
+        elif self._consumers(op.name) > 1 and not op.always or op.cutoff is not None:
+            value = value.persist()
+        if op.cutoff is not None and op.value is not None and op.cutoff(op.value, value):
+            value.unpersist()
+            return op.value, False
+        return value, True
+
+    def _kept_up(self, op: Operator) -> tuple[DataFrame, bool]:
+        """The value from change sets alone, and whether anything changed."""
+        if op.kind == "keyed input":
+            for changes in op.pending:
+                op.store.apply(changes)
+            op.changes = op.pending[0] if len(op.pending) == 1 else None  # of several the whole table tells
+            op.pending = []
+            return op.store.table(), True
+        changes = op.rule.delta(self.operators[op.inputs[0]].changes)
+        if op.kind == "fold":
+            more = changes.first()[0]
+            op.total += more
+            return (self._cell(op), True) if more else (op.value, False)
+        changes = changes.persist()
+        if changes.isEmpty():
+            return op.value, False
+        op.store.apply(changes)
+        op.changes = changes
+        return op.store.table(), True
+
+    def _cell(self, op: Operator) -> DataFrame:
+        return self.spark.createDataFrame([(op.total,)], f"{op.rule.name} long")
+
     def act(self, actions: dict[str, Callable[[DataFrame], object]], parallel: int = 4) -> dict[str, object]:
         """Run an action on each of several observed operators, some at a time, as jobs of their own."""
         with ThreadPoolExecutor(max_workers=parallel) as pool:
@@ -270,8 +380,13 @@ class Session:
     def check(self) -> list[str]:
         """Problems of the registry; none if all is well."""
         found = [f"{n} needs {i}, which is not there" for n, o in self.operators.items() for i in o.inputs if i not in self.operators]
-        if cycle := find_cycle({n: o.inputs for n, o in self.operators.items()}):
+        cycle = find_cycle({n: o.inputs for n, o in self.operators.items()})
+        if cycle:
             found.append("cycle: " + " -> ".join(cycle))
+        found += [f"{n} has a value that nothing needs" for n, o in self.operators.items() if o.value is not None and n not in self._needed]
+        found += [f"{n} is needed and not there" for n in self._needed if n not in self.operators]
+        found += [f"{n} is at height {self.height(n)}, over {self.max_height}" for n, o in self.operators.items() if all(i in self.operators for i in o.inputs) and not cycle and self.height(n) > self.max_height]
+        found += [f"{n} went on {o.changed} times and was made {o.recomputes} times" for n, o in self.operators.items() if o.changed > o.recomputes]
         found += [f"{o.name} is observed and not there" for o in self.observers if o.name not in self.operators]
         return found
 

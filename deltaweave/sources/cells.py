@@ -33,6 +33,31 @@ def states_over_passes(log: DataFrame, versions: DataFrame, keys: list[str], val
     return spread.join(versions.select("version").distinct(), "version", "left_semi")
 
 
+def totals_over_passes(log: DataFrame, keys: list[str], value: str = "v", total: str = "total", count: str = "n") -> DataFrame:
+    """The sum over all cells of their values at every pass of the log, and the number of cells that have one.
+
+    Every write changes the sum by its difference to the cell's value before, so passes are summed by themselves and
+    the sums run on: rows are cells' writes and then passes, never cells times passes.
+    """
+    last = latest_per_pass(log, keys, value=value)
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy("version"))
+    moved = last.withColumn("_before", before).groupBy("version")
+    per = moved.agg(F.sum(F.col(value) - F.coalesce("_before", F.lit(0))).alias("_moved"), F.count_if(F.col("_before").isNull()).alias("_new"))
+    running = Window.orderBy("version").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a pass
+    return per.select("version", F.sum("_moved").over(running).alias(total), F.sum("_new").over(running).alias(count))
+
+
+def read_as_of(states: DataFrame, pointers: DataFrame, key: str, target: str, value: str = "v") -> DataFrame:
+    """For each pointer (version, ``target``) the value that the cell it points to has at that pass; pointers to cells
+    without one are left out. Writes and pointers are put in one order per cell; no join."""
+    kind = states.schema[value].dataType
+    writes = states.select(F.col(key).alias(target), "version", F.lit(0).alias("_side"), F.struct(value).alias("_w"))
+    asks = pointers.select(F.col(target).cast(states.schema[key].dataType).alias(target), "version", F.lit(1).alias("_side"), F.lit(None).cast(f"struct<{value}:{kind.simpleString()}>").alias("_w"))
+    w = Window.partitionBy(target).orderBy("version", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = writes.union(asks).withColumn("_held", F.last("_w", ignorenulls=True).over(w))
+    return held.where("_side = 1 and _held is not null").select("version", target, F.col(f"_held.{value}").alias(value))
+
+
 def drop_unchanged(log: DataFrame, keys: list[str], order: str = "seq", value: str = "v", equal: Equal | None = None) -> DataFrame:
     """Writes of the value a cell already holds are no writes. ``equal`` has to be an equivalence; see
     ``operators.cutoff`` for tests that aren't."""

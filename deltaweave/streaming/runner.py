@@ -32,12 +32,13 @@ def stream(spark: SparkSession, at: str, schema, per_batch: int = 1) -> DataFram
 
 
 class Passes:
-    """Runs a streaming frame to its end, one pass a micro-batch; ``each`` gets (batch, pass number)."""
+    """Runs a streaming frame to its end, one pass a micro-batch; ``each`` gets (batch, pass number). With a folder ``at``
+    that an earlier run used, it goes on where that run ended, with its state."""
 
-    def __init__(self, frame: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append"):
+    def __init__(self, frame: DataFrame, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", at: str | None = None):
         self.frame, self.each, self.mode = frame, each, mode
         spark = frame.sparkSession
-        self.at = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+        self.at = at or f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
         self.ran: list[int] = []
 
     def _write(self, batch: DataFrame, number: int) -> None:
@@ -62,16 +63,20 @@ class Passes:
 
 
 class Maintained:
-    """A fold kept up over passes by signed changes: each pass adds what its batch brings."""
+    """A fold kept up over passes by signed changes: each pass adds what its batch brings to ``start``, the value that a
+    run before it ended with."""
 
     def __init__(self, start: int = 0):
-        self.total, self.history = start, []
+        self.start, self.history = start, []
+
+    @property
+    def total(self) -> int:
+        return self.history[-1][1] if self.history else self.start
 
     def take(self, number: int, delta: int) -> None:
         """A pass that runs again replaces its own part."""
         self.history = [h for h in self.history if h[0] < number]
-        self.total = (self.history[-1][1] if self.history else 0) + delta
-        self.history.append((number, self.total))
+        self.history.append((number, self.total + delta))
 
 
 def windowed(events: DataFrame, late: str, size: str, slide: str | None = None, ts: str = "ts") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.operators import aggregates as agg, arrays, cells as cell, cutoff, time
 from deltaweave.plans import bind, dependencies
-from deltaweave.plans.session import AlreadyRunning, CycleError, Operator, OperatorError, Session, TooDeep
+from deltaweave.plans.session import AlreadyRunning, CycleError, Operator, OperatorError, Session, TooDeep, same_rows
 from deltaweave.sources import cells
 
 LOG = "k long, seq long, v double"
@@ -244,3 +244,117 @@ def test_a_fold_taken_twice_counts_once():
     for n, d in ((0, 5), (1, 7), (1, 7), (2, 1)):
         fold.take(n, d)
     assert fold.total == 13
+
+
+def test_a_fold_goes_on_from_its_start():
+    from deltaweave.streaming.runner import Maintained
+
+    fold = Maintained(100)
+    assert fold.total == 100
+    fold.take(0, 5)
+    fold.take(1, 7)
+    fold.take(0, 6)
+    assert fold.total == 106
+
+
+def test_a_stream_goes_on_where_a_run_ended(spark, tmp_path):
+    from deltaweave.streaming import runner, stateful
+
+    schema = "k long, version long, seq long, v long"
+    part = lambda *v: spark.createDataFrame([(1, s, s, x) for s, x in v], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    passes = lambda: runner.Passes(stateful.cutoff(runner.stream(spark, f"file://{tmp_path}/in", spark.createDataFrame([], schema).schema), [("k", "long")], lambda old, new: abs(new - old) < 5), at=f"file://{tmp_path}/out")
+    part((0, 10), (1, 12))
+    assert [(r.seq, r.held) for r in passes().run().collect()] == [(0, 10)]
+    part((2, 13), (3, 15))
+    assert [(r.seq, r.held) for r in passes().run().collect()] == [(3, 15)]
+
+
+def test_cells_of_several_rows_are_an_error(spark):
+    with pytest.raises(Exception, match="one row"):
+        cell.map_cells(lambda a: a, (spark.range(2), "id")).collect()
+    assert cell.map_cells(lambda a, b: a + b, (spark.range(1), "id"), (spark.range(0), "id")).count() == 0
+    assert cell.MapN(lambda a: a).values().first().vs == []
+
+
+def test_cutoffs_stop_a_pass(spark):
+    s = Session(spark)
+    value = {"v": 1}
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    s.source("a", lambda: one(value["v"]), cutoff=same_rows)
+    s.derive("b", lambda a: a.select(F.floor(F.col("v") / 10).alias("v")), "a", cutoff=same_rows)
+    c = s.derive("c", lambda b: b, "b")
+    o, seen = s.observe("c"), []
+    o.on_update(lambda df: seen.append(df.first().v))
+    for v, made in ((1, 1), (1, 1), (2, 1), (12, 2), (13, 2)):
+        value["v"] = v
+        s.set_stale("a")
+        s.run()
+        assert c.recomputes == made
+    assert seen == [0, 1] and o.value().first().v == 1
+    assert s.counters["changed"] == c.changed + s.operators["b"].changed + s.operators["a"].changed == 2 + 2 + 4
+
+
+def test_keyed_results_follow_changes_alone(spark):
+    from deltaweave.operators import delta, keyed
+
+    frame = lambda t: spark.createDataFrame(sorted(t.items()), "k long, v long")
+    s, tables = Session(spark), [{k: k for k in range(20)}]
+    s.keyed("t", frame(tables[0]), "k", 4)
+    even = s.keep("even", keyed.FilterMapValues("k", lambda r: r("v") * 10, lambda r: r("v") % 2 == 0), "t")
+    total = s.keep("total", agg.total("k"), "even")
+    o = s.observe("total")
+    s.run()
+    assert o.value().first().total == 900
+    for new in ({**tables[-1], 3: 4}, {**tables[-1], 3: 4, 5: 7}, {k: v for k, v in tables[-1].items() if k != 2}):
+        s.change("t", delta.diff(frame(tables[-1]), frame(new), "k"))
+        tables.append(new)
+        s.run()
+        assert o.value().first().total == sum(10 * v for v in new.values() if v % 2 == 0)
+        assert sorted(map(tuple, even.value.collect())) == sorted((k, 10 * v) for k, v in new.items() if v % 2 == 0)
+    assert (even.recomputes, even.kept_up, even.changed) == (4, 3, 3) and (total.recomputes, total.kept_up) == (3, 2)
+    s.change("t", delta.diff(frame(tables[-1]), frame({1: 2}), "k"))
+    s.change("t", delta.diff(frame({1: 2}), frame({1: 2, 4: 8}), "k"))
+    s.run()
+    assert o.value().first().total == 100 and s.check() == []
+
+
+def test_any_error_leaves_the_pass_undone(spark):
+    s, said = Session(spark), []
+    s.source("a", lambda: spark.range(1))
+    s.derive("b", lambda a: a, "a")
+    s.observe("b")
+    s.trace(said.append)
+    fail = {"on": True}
+
+    def start(version):
+        if fail["on"]:
+            raise KeyboardInterrupt
+
+    s.on_start.append(start)
+    with pytest.raises(KeyboardInterrupt):
+        s.run()
+    assert s.version == 0 and said[-1].startswith("pass 0 failed")
+    fail["on"] = False
+    assert s.run() == 1 and s.operators["b"].value.count() == 1
+
+
+def test_aborted_and_invalidated_operators_hear_of_it(spark):
+    s, heard = Session(spark, clear_on_error=True, deterministic=True), []
+
+    def no(a):
+        raise ValueError("no")
+
+    s.source("a", lambda: spark.range(1))
+    s.derive("b", no, "a")
+    s.derive("c", lambda b: b, "b")
+    for n in "abc":
+        s.operators[n].on_aborted.append(lambda e, n=n: heard.append(f"aborted {n}"))
+        s.operators[n].on_invalidated.append(lambda n=n: heard.append(f"gone {n}"))
+        s.operators[n].on_error.append(lambda e, n=n: heard.append(f"failed {n}"))
+    s.observe("c")
+    with pytest.raises(OperatorError, match="b: no"):
+        s.run()
+    assert heard == ["failed b", "aborted b", "aborted c"] or sorted(heard) == ["aborted b", "aborted c", "failed b"]
+    heard.clear()
+    s.invalidate("b")
+    assert sorted(heard) == ["gone b", "gone c"] and list(s.operators) == ["a"] and s.observers == [] and s.run() == 1

@@ -88,17 +88,34 @@ def test_merge_follows_either_side(spark):
     assert [(r.k, r.kind, r.new.v) for r in moved.collect()] == [(2, "updated", 120)]
 
 
-def test_store_rewrites_touched_buckets_alone(spark, tmp_path):
+def test_store_takes_changes_and_rewrites_touched_buckets_alone(spark, tmp_path):
     table = {k: k for k in range(200)}
-    s = store.Store(spark, f"file://{tmp_path}/s", "k", 16).create(frame(spark, table))
+    at = f"file://{tmp_path}/s"
+    s = store.Store(spark, at, "k", 16).create(frame(spark, table))
     before = dict(s.places)
     new = table | {7: 70}
-    touched = s.apply(delta.diff(frame(spark, table), frame(spark, new), "k"))
-    assert len(touched) == 1
-    assert sum(before[b] != s.places[b] for b in before) == 1
-    assert rows(s.table()) == sorted(new.items())
-    assert rows(s.get(7)) == [(7, 70)]
-    assert s.apply(delta.diff(frame(spark, new), frame(spark, new), "k")) == []
+    s.apply(delta.diff(frame(spark, table), frame(spark, new), "k"))
+    assert s.places == before and len(s.pending) == 1
+    assert rows(s.table()) == sorted(new.items()) and rows(s.get(7)) == [(7, 70)] and rows(s.get(8)) == [(8, 8)]
+    last = {k: v + 1 for k, v in new.items() if k not in (8, 9)} | {500: 5}
+    s.apply(delta.diff(frame(spark, new), frame(spark, {k: v for k, v in new.items() if k != 8}), "k"))
+    assert rows(s.get(8)) == [] and rows(store.Store.open(spark, at, 1).table()) == sorted(new.items())
+    assert len(s.compact()) == 2 and not s.pending
+    assert sum(before[b] != s.places[b] for b in before) == 2
+    s.apply(delta.diff(s.table(), frame(spark, last), "k"))
+    again = store.Store.open(spark, at)
+    assert rows(again.table()) == sorted(last.items()) and again.schema == s.schema and again.version == s.version
+    s.apply(delta.diff(frame(spark, last), frame(spark, last), "k"))
+    assert len(s.pending) == 1 and s.compact() and s.compact() == []
+    assert rows(s.table()) == sorted(last.items())
+
+
+def test_store_merges_when_changes_pile_up(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s", "k", 2, pending=3).create(frame(spark, {1: 1}))
+    for k in range(2, 9):
+        s.apply(delta.diff(frame(spark, {}), frame(spark, {k: k}), "k"))
+        assert len(s.pending) < 3
+    assert rows(s.table()) == [(k, k) for k in range(1, 9)]
 
 
 def test_keys_are_checked(spark):
