@@ -581,7 +581,7 @@ def cutoff_epsilon(spark, d):
 @query(f"WITH RECURSIVE {EV}, e AS (SELECT *, 1000 + 200 * version AS eps FROM ev)" + _STEP.format(src="e", first="abs(v - 0) < eps", later="abs(n.v - r.held) < n.eps"))
 def cutoff2_epsilon_cell(spark, d):
     log = tables.events(spark, d).withColumn("eps", 1000 + 200 * F.col("version"))
-    return cutoff.cutoff_by_cell(log, ["k"], "eps", lambda eps, old, new: F.abs(new - old) < eps)
+    return cutoff.cutoff_by_cell(log, ["k"], "eps", lambda eps, old, new: abs(new - old) < eps)
 
 
 @query(f"WITH {EV} SELECT k, seq, CAST(0 AS BIGINT) AS held, false AS went_on FROM ev")

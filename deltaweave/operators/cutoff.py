@@ -1,49 +1,49 @@
 """Cutoffs: a value goes on only if it differs enough from the last one that went on.
 
 The comparison is with the last value that went on, so for a tolerance it is a fold in order, not a look at the
-row before. In batch a key's log is folded as an array; ``streaming.stateful`` keeps the value as state. Before
-the first pass the last value is the zero value, but the first value always shows: dependents run once.
+row before (``operators.ordered``); ``streaming.stateful`` keeps the value as state between batches. Before
+the first pass the last value is the zero value. Null values never stop.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: (last that went on, new value[, tolerance]) -> true to stop.
-Stop = Callable[..., Column]
+from deltaweave.operators.ordered import fold
 
+#: (last that went on, new value[, tolerance]) -> true to stop; values are Python's.
+Stop = Callable[..., bool]
 
-def _fold(log: DataFrame, keys: list[str], order: str, value: str, zero: Column, stop: Callable[[Column, Column], Column]) -> DataFrame:
-    """Arrays of (order, value seen, went on) per key."""
+
+def _fold(log: DataFrame, keys: list[str], order: str, value: str, uses: list[str], zero: object, stop: Callable[..., bool]) -> DataFrame:
     kind = log.schema[value].dataType.simpleString()
-    rank = log.schema[order].dataType.simpleString()
-    writes = F.array_sort(F.collect_list(F.struct(*(F.col(c) for c in log.columns if c == order), *(F.col(c) for c in log.columns if c not in (order, *keys)))))
-    start = F.struct(zero.cast(kind).alias("held"), F.array().cast(f"array<struct<{order}:{rank},held:{kind},went_on:boolean>>").alias("out"))
 
-    def step(acc: Column, w: Column) -> Column:
-        goes = ~F.coalesce(stop(acc["held"], w), F.lit(False))
-        held = F.when(goes, w[value]).otherwise(acc["held"])
-        return F.struct(held.alias("held"), F.concat(acc["out"], F.array(F.struct(w[order].alias(order), held.alias("held"), goes.alias("went_on")))).alias("out"))
+    def step(state: tuple | None, values: tuple) -> tuple[tuple, tuple]:
+        held = zero if state is None else state[0]
+        goes = held is None or any(v is None for v in values) or not stop(held, *values)
+        held = values[0] if goes else held
+        return (held,), (held, goes)
 
-    folded = log.groupBy(*keys).agg(writes.alias("_w")).select(*keys, F.aggregate("_w", start, step, lambda acc: acc["out"]).alias("_o"))
-    return folded.select(*keys, F.inline("_o"))
+    out = fold(log.select(*keys, order, *uses), keys, order, uses, step, f"held {kind}, went_on boolean")
+    return out.select(*keys, order, "held", "went_on")
 
 
 def cutoff(log: DataFrame, keys: list[str], stop: Stop, zero: object = 0, order: str = "seq", value: str = "v") -> DataFrame:
     """Per write: ``held`` (the value downstream sees) and ``went_on``."""
-    return _fold(log.select(*keys, order, value), keys, order, value, F.lit(zero), lambda old, w: stop(old, w[value]))
+    return _fold(log, keys, order, value, [value], zero, stop)
 
 
 def cutoff_by_cell(log: DataFrame, keys: list[str], tolerance: str, stop: Stop, zero: object = 0, order: str = "seq", value: str = "v") -> DataFrame:
     """As ``cutoff``, with a tolerance that is a column of the log (a cell joined to it)."""
-    return _fold(log.select(*keys, order, value, tolerance), keys, order, value, F.lit(zero), lambda old, w: stop(w[tolerance], old, w[value]))
+    return _fold(log, keys, order, value, [value, tolerance], zero, lambda old, new, by: stop(by, old, new))
 
 
-def within(epsilon: object) -> Stop:
+def within(epsilon: Any) -> Stop:
     """Stops values less than ``epsilon`` from the last."""
-    return lambda old, new: F.abs(new - old) < F.lit(epsilon)
+    return lambda old, new: abs(new - old) < epsilon
 
 
 def always(log: DataFrame, zero: object = 0, value: str = "v") -> DataFrame:

@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from deltaweave.operators.ordered import fold
+
 
 class Clock:
     """A clock that moves when it is told to, and never back."""
@@ -77,23 +79,25 @@ def step_table(ticks: DataFrame, steps: DataFrame, initial: object, tick: str =
 def throttle(log: DataFrame, keys: list[str], every_seconds: int, order: str = "seq", tick: str = "ts") -> DataFrame:
     """Which rows a timer lets through: the first, then each at least the interval after the last let through. The
     timer drifts with its fires, so it is a fold in order and no grid of windows."""
-    writes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), micros(F.col(tick)).alias("t"))))
     every = every_seconds * 1_000_000
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<o:bigint,fired:boolean>>").alias("out"))
 
-    def step(acc: Column, w: Column) -> Column:
-        fires = acc["last"].isNull() | (w["t"] - acc["last"] >= every)
-        return F.struct(F.when(fires, w["t"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(w["o"].alias("o"), fires.alias("fired")))).alias("out"))
+    def step(last: int | None, values: tuple) -> tuple[int | None, tuple]:
+        t = values[0]
+        fires = t is not None and (last is None or t - last >= every)
+        return (t if fires else last), (fires,)
 
-    folded = log.groupBy(*keys).agg(writes.alias("_w")).select(*keys, F.aggregate("_w", start, step, lambda acc: acc["out"]).alias("_o"))
-    return folded.select(*keys, F.inline("_o")).withColumnRenamed("o", order)
+    rows = log.select(*keys, order, micros(F.col(tick)).alias("_t"))
+    return fold(rows, keys, order, ["_t"], step, "fired boolean").drop("_t")
 
 
-def staleness(beats: DataFrame, ticks: DataFrame, key: str, most_seconds: int, beat: str = "ts", tick: str = "tick") -> DataFrame:
-    """Per feed and tick: is the last beat less than ``most_seconds`` old? Ticks are dealt to the feeds, which are
-    few, and both are put in one order per feed; no range join."""
+def staleness(beats: DataFrame, ticks: DataFrame, key: str, most_seconds: int, beat: str = "ts", tick: str = "tick", most_ticks: int = 1_000_000) -> DataFrame:
+    """Per feed and tick: is the last beat less than ``most_seconds`` old? The result has a row for each of both. The
+    ticks, at most ``most_ticks``, go to every feed, and both are put in one order per feed; no range join."""
     feeds = beats.select(key).distinct()
-    grid = feeds.crossJoin(F.broadcast(ticks.select(tick).distinct()))
+    grid = ticks.select(tick).distinct()
+    if len(grid.limit(most_ticks + 1).select(F.lit(1)).offset(most_ticks).take(1)):
+        raise ValueError(f"more than {most_ticks} ticks")
+    grid = feeds.crossJoin(F.broadcast(grid))  # the result itself, from a grid of checked size
     a = beats.select(key, F.col(beat).alias("_t"), F.lit(0).alias("_side"))
     b = grid.select(key, F.col(tick).alias("_t"), F.lit(1).alias("_side"))
     w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -22,7 +22,7 @@ def held(df):
 
 
 def test_cutoff_compares_with_what_went_on(spark):
-    stop = lambda old, new: F.abs(new - old) < 0.1
+    stop = lambda old, new: abs(new - old) < 0.1
     assert held(cutoff.cutoff(log(spark, 3.14, 3.15, 3.26), ["k"], stop, 0.0)) == [3.14, 3.14, 3.26]
     assert held(cutoff.cutoff(log(spark, 3.14, 3.20, 3.26), ["k"], stop, 0.0)) == [3.14, 3.14, 3.26]
 
@@ -358,3 +358,26 @@ def test_aborted_and_invalidated_operators_hear_of_it(spark):
     heard.clear()
     s.invalidate("b")
     assert sorted(heard) == ["gone b", "gone c"] and list(s.operators) == ["a"] and s.observers == [] and s.run() == 1
+
+
+def test_folds_in_order_keep_other_columns_and_take_long_logs(spark):
+    from deltaweave.operators import ordered
+
+    rows = spark.range(50_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("seq"), (F.col("id") % 7).alias("v"), F.lit("x").alias("note")).repartition(5)
+    run = lambda n, values: ((n or 0) + values[0], ((n or 0) + values[0],))
+    got = ordered.fold(rows, ["k"], "seq", ["v"], run, "so_far long")
+    assert got.columns == ["k", "seq", "v", "note", "so_far"] and got.count() == 50_000
+    last = {r.k: r.so_far for r in got.groupBy("k").agg(F.max_by("so_far", "seq").alias("so_far")).collect()}
+    assert last == {k: sum(i % 7 for i in range(k, 50_000, 3)) for k in range(3)}
+    nulls = spark.createDataFrame([(None, 0, 5.0), (None, 1, None), (None, 2, 5.01)], LOG)
+    assert held(cutoff.cutoff(nulls, ["k"], lambda old, new: abs(new - old) < 1, 0.0)) == [5.0, None, 5.01]
+    assert ordered.fold(rows.limit(0), ["k"], "seq", ["v"], run, "so_far long").count() == 0
+
+
+def test_nth_by_ranges(spark):
+    from deltaweave.operators import positions
+
+    df = spark.range(5000).select((F.col("id") * 3).alias("k"), F.col("id").alias("v")).repartition(7)
+    for i in (0, 15, 16, 777, 4999):
+        assert [r.v for r in positions.nth(df, "k", i, parts=16).collect()] == [i]
+    assert positions.nth(df, "k", 5000, parts=16).count() == 0 and positions.nth(df.limit(0), "k", 50, parts=16).count() == 0
