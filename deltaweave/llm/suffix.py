@@ -17,8 +17,11 @@ earlier in the same one. Strings never reach over documents, and are judged on t
 3. Marked strings are merged per document and cut out.
 
 Equal contexts of one slice of texts are sent once, as their earliest occurrence; the others are marked at
-once. A task takes whole grams, about ``most_rows`` rows at a time, 200 bytes a row; a gram's distinct
-contexts in all slices together are met in one task.
+once. A task takes whole grams, about ``most_rows`` rows at a time, 200 bytes a row. A gram with more occurrences than
+that is expanded in ranges of ``HOT_LEVELS`` levels, each dealt by the bytes that all of its levels hold (the gram,
+and what precedes and follows it nearest); what else a row carries is one byte at each end, so a task meets 65,536
+contexts at most of each salted group, in which equal ones are first put together. The names of such grams are sent to all tasks: with
+more occurrences than ``hot_rows`` and than a share of 1 / ``MOST_HOT`` of all, they are fewer than ``MOST_HOT``.
 
 Nulls: a null text is empty. A null id sorts before all others. Rows that repeat an id and its text are one
 document, and each gets its result. No documents: no rows.
@@ -34,11 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from deltaweave.llm.staging import release, stage
-from deltaweave.llm.text import gram_hash, mix, slices
+from deltaweave.llm.text import SLICE_BYTES, gram_hash, mix, slices
 
 LENGTH, GRAM = 100, 16
 MOST_ROWS = 200_000
 ENTRIES_PER_BUCKET = 300_000
+MOST_HOT = 1_000_000
+HOT_LEVELS = 2
 _U = np.uint64
 _ROW = {"value": "<u8", "doc": "<i8", "dk": "<i8", "place": "<i4", "before": "u1", "behind": "u1", "high": "i1", "low": "i1"}
 _SENT = {**_ROW, "left": "u1", "right": "u1"}
@@ -111,8 +116,9 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def shared_places(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    """(dk, places): per document the anchors whose gram occurs elsewhere, as packed 32-bit places."""
+def shared_places(docs: DataFrame, buckets: int, length: int, k: int, hot_rows: int = MOST_ROWS) -> DataFrame:
+    """(dk, places): per document the anchors whose gram occurs elsewhere, as packed 32-bit places. Besides, without dk,
+    (value, n) of each gram with more than ``hot_rows`` occurrences, and n without value: occurrences of all grams."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,38 +134,58 @@ def shared_places(docs: DataFrame, buckets: int, length: int, k: int) -> DataFra
                 new = _runs(value)
                 start = np.flatnonzero(new)
                 sent = np.arange(len(value)) - start[np.cumsum(new) - 1] < 2
+                n = np.zeros(len(value), np.int32)
+                n[start] = np.diff(np.append(start, len(value)))
                 twin = np.append(False, (dk[1:] == dk[:-1]) & (place[1:] == place[:-1]) & ~new[1:])
                 sent &= ~twin
                 for which, bucket in ((sent, value), (~sent, dk.view(_U))):  # two of a slice stand for all of its occurrences
                     if which.any():
-                        part = _pack((bucket[which] % _U(buckets)).astype(np.int64), value=value[which], dk=dk[which], place=place[which].astype(np.int32))
+                        part = _pack((bucket[which] % _U(buckets)).astype(np.int64), value=value[which], dk=dk[which], place=place[which].astype(np.int32), n=n[which])
                         yield part.add_column(1, "known", pa.array(np.full(part.num_rows, which is not sent)))
 
+    def counted(part: pa.RecordBatch, value: pa.Array | None = None, n: pa.Array | None = None) -> pa.RecordBatch:
+        none = pa.nulls(part.num_rows, pa.int64())
+        return part.append_column("value", none if value is None else value).append_column("n", none if n is None else n)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = []
         for b in batches:
             known = b.column(1)
             told = b.filter(known)
             if told.num_rows:
-                yield told.select(["bucket", "dk", "place"])
+                yield counted(told.select(["bucket", "dk", "place"]))
             rest = b.filter(pc.invert(known))
             if rest.num_rows:
                 fresh.append(rest)
-        x = _gather(iter(fresh), {"value": "<u8", "dk": "<i8", "place": "<i4"})
+        x = _gather(iter(fresh), {"value": "<u8", "dk": "<i8", "place": "<i4", "n": "<i4"})
         if x is None:
             return
         order = np.lexsort((x["place"], x["dk"], x["value"]))
-        value, dk, place = (x[n][order] for n in ("value", "dk", "place"))
+        value, dk, place, n = (x[c][order] for c in ("value", "dk", "place", "n"))
+        start = np.flatnonzero(_runs(value))
+        times = np.add.reduceat(n.astype(np.int64), start)
+        hot = np.flatnonzero(times > hot_rows)
+        names = pa.concat_arrays([pa.array(value[start[hot]].view(np.int64)), pa.nulls(1, pa.int64())])
+        times = np.append(times[hot], times.sum())
+        nothing = pa.array([b""] * len(times), pa.binary())
+        yield counted(pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(len(times), dtype=np.int64)), "dk": nothing, "place": nothing}), names, pa.array(times))
         whole = _runs(value, dk, place)  # an identical row sent by another slice is the same document
         value, dk, place = value[whole], dk[whole], place[whole]
         new = _runs(value)
         count = np.diff(np.append(np.flatnonzero(new), len(value)))[np.cumsum(new) - 1]
         keep = count > 1
         if keep.any():
-            yield _pack((dk[keep].view(_U) % _U(buckets)).astype(np.int64), dk=dk[keep], place=place[keep])
+            yield counted(_pack((dk[keep].view(_U) % _U(buckets)).astype(np.int64), dk=dk[keep], place=place[keep]))
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _gather(batches, {"dk": "<i8", "place": "<i4"})
+        of_documents = []
+        for b in batches:
+            of_grams = b.filter(pc.is_valid(b.column(4)))
+            if of_grams.num_rows:
+                nothing = pa.nulls(of_grams.num_rows)
+                yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.binary()), of_grams.column(3), of_grams.column(4)], ["dk", "places", "value", "n"])
+            of_documents.append(b.filter(pc.is_null(b.column(4))))
+        x = _gather(iter(of_documents), {"dk": "<i8", "place": "<i4"})
         if x is None:
             return
         order = np.lexsort((x["place"], x["dk"]))
@@ -170,23 +196,34 @@ def shared_places(docs: DataFrame, buckets: int, length: int, k: int) -> DataFra
         raw = place.tobytes()
         for a in range(0, len(first) - 1, 4096):
             cut = first[a : a + 4097]
-            yield pa.RecordBatch.from_pydict({"dk": pa.array(dk[cut[:-1]]), "places": pa.array([raw[4 * s : 4 * e] for s, e in zip(cut[:-1], cut[1:])], pa.binary())})
+            yield counted(pa.RecordBatch.from_pydict({"dk": pa.array(dk[cut[:-1]]), "places": pa.array([raw[4 * s : 4 * e] for s, e in zip(cut[:-1], cut[1:])], pa.binary())}))
 
-    sent = docs.select("dk", "text").mapInArrow(send, "bucket long, known boolean, value binary, dk binary, place binary")
-    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, dk binary, place binary")
-    return met.repartition(buckets, "bucket").mapInArrow(per_document, "dk long, places binary")
+    sent = docs.select("dk", "text").mapInArrow(send, "bucket long, known boolean, value binary, dk binary, place binary, n binary")
+    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, dk binary, place binary, value long, n long")
+    return met.repartition(buckets, "bucket").mapInArrow(per_document, "dk long, places binary, value long, n long")
 
 
+def hot_grams(places: DataFrame, hot_rows: int = MOST_ROWS) -> tuple[np.ndarray, int, int]:
+    """(names of the hot grams in order, occurrences of the hottest, of all of them)."""
+    said = places.where("n is not null")
+    least = max(hot_rows, (said.where("value is null").agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    found = said.where(F.col("value").isNotNull() & (F.col("n") > least)).select("value", "n").toArrow()
+    n = found.column(1).to_numpy()
+    return np.sort(found.column(0).to_numpy().view(_U)), int(n.max(initial=0)), int(n.sum())
 
 
-def contexts(docs: DataFrame, places: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    """The occurrences of shared grams with what precedes (nearest byte first) and follows them, packed per bucket of grams."""
+def contexts(docs: DataFrame, places: DataFrame, buckets: int, length: int, k: int, hot: np.ndarray | None = None, salts: int = 0) -> DataFrame:
+    """The occurrences of shared grams with what precedes (nearest byte first) and follows them, packed per bucket of grams.
+    Without ``salts`` those of other grams than ``hot``; with it those of ``hot`` alone, a row for each range of levels,
+    named by the bytes that all levels of the range hold, and each name in so many buckets."""
     reach = length - k
+    hot = np.zeros(0, _U) if hot is None else hot
+    ranges = [(lo, min(lo + HOT_LEVELS - 1, reach)) for lo in range(0, reach + 1, HOT_LEVELS)] if salts else [(0, reach)]
     joined = docs.join(places.withColumnRenamed("dk", "_d"), F.col("dk") == F.col("_d")).select("order", "dk", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(2), 500_000):
+            for first, end, data, offsets in slices(batch.column(2), SLICE_BYTES if salts else 500_000):
                 found = batch.column(3).slice(first, end - first).to_pylist()
                 count = np.array([len(x) // 4 for x in found])
                 text = np.repeat(np.arange(end - first), count)
@@ -196,6 +233,8 @@ def contexts(docs: DataFrame, places: DataFrame, buckets: int, length: int, k: i
                 g, least = minima(data, offsets, length, k)
                 whole = offsets[text] + place
                 value = g[whole]
+                own = np.isin(value, hot) == (salts > 0)
+                text, place, whole, value = text[own], place[own], whole[own], value[own]
                 windows = np.concatenate([np.zeros(reach, _U), least, np.zeros(length, _U)])
                 wide = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(reach + k, np.uint8)])
                 steps = np.arange(reach)
@@ -206,29 +245,78 @@ def contexts(docs: DataFrame, places: DataFrame, buckets: int, length: int, k: i
                     before = reach - own.argmax(axis=1)
                     behind = reach - own[:, ::-1].argmax(axis=1)
                     at = whole[cut][:, None] + reach
-                    left = np.where(steps < before[:, None], wide[at - 1 - steps], 0)
-                    right = np.where(steps < behind[:, None], wide[at + k + steps], 0)
+                    wide_left, wide_right = wide[at - 1 - steps], wide[at + k + steps]
                     doc = batch.column(0).slice(first, end - first).to_numpy()[text[cut]]
                     dk = batch.column(1).slice(first, end - first).to_numpy()[text[cut]]
-                    part = {"value": value[cut], "doc": doc, "dk": dk, "place": place[cut].astype(np.int32), "before": before.astype(np.uint8), "behind": behind.astype(np.uint8), "left": left.astype(np.uint8), "right": right.astype(np.uint8)}
-                    sent, marks = _once(part, reach)
-                    sent["high"] = sent["low"] = np.full(len(sent["dk"]), -1, np.int8)
-                    yield _pack((sent["value"] % _U(buckets)).astype(np.int64), **{n: sent[n] for n in _SENT})
-                    if len(marks["dk"]):  # they need no comparison, but travel the same way
-                        marks["left"] = marks["right"] = np.zeros((len(marks["dk"]), 0), np.uint8)
-                        yield _pack((marks["dk"].view(_U) % _U(buckets)).astype(np.int64), **{n: marks[n] for n in _SENT})
+                    for lo, hi in ranges:
+                        upto, beyond = np.minimum(before, hi), np.minimum(behind, reach - lo)
+                        on = np.flatnonzero((upto >= lo) & (beyond >= reach - hi) & (upto + beyond >= reach))
+                        if not len(on):
+                            continue
+                        upto, beyond = upto[on], beyond[on]
+                        left = np.where(steps < upto[:, None], wide_left[on], 0).astype(np.uint8)
+                        right = np.where(steps < beyond[:, None], wide_right[on], 0).astype(np.uint8)
+                        part = {"value": value[cut][on], "doc": doc[on], "dk": dk[on], "place": place[cut][on].astype(np.int32), "before": upto.astype(np.uint8), "behind": beyond.astype(np.uint8), "left": left, "right": right}
+                        if salts:
+                            part["value"] = _mixed(_mixed(part["value"] + _U(lo), left[:, :lo]), right[:, : reach - hi])
+                        yield from _send(part, reach, buckets, salts)
 
     return joined.mapInArrow(run, "bucket long, " + ", ".join(f"{n} binary" for n in _SENT))
 
 
+def _mixed(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``h`` mixed with the bytes of each row."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    for column in wide.view("<u8").T if wide.shape[1] else ():
+        h = mix(h * _U(0x9E3779B97F4A7C15) + column)
+    return h
+
+
+def _send(x: dict[str, np.ndarray], reach: int, buckets: int, salts: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows without repeats of contexts by gram, and what is marked by document."""
+    sent, marks = _once(x, reach)
+    sent["high"] = sent["low"] = np.full(len(sent["dk"]), -1, np.int8)
+    name = sent["value"]
+    if salts:
+        name = mix(name + mix(sent["dk"].view(_U) + sent["place"].astype(_U)) % _U(salts))
+    yield _pack((name % _U(buckets)).astype(np.int64), **{n: sent[n] for n in _SENT})
+    if len(marks["dk"]):  # they need no comparison, but travel the same way
+        marks["left"] = marks["right"] = np.zeros((len(marks["dk"]), 0), np.uint8)
+        yield _pack((marks["dk"].view(_U) % _U(buckets)).astype(np.int64), **{n: marks[n] for n in _SENT})
+
+
+def _received(batches: Iterator[pa.RecordBatch], reach: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]] | None:
+    """(rows to compare, rows that are marked)."""
+    x = _gather(batches, _SENT)
+    if x is None:
+        return None
+    fresh = x["high"] < 0
+    told = {n: v[~fresh] for n, v in x.items() if n not in ("left", "right")}
+    return {n: v.reshape(-1, reach) if n in ("left", "right") else v[fresh] for n, v in x.items()}, told
+
+
+def gathered(packed: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
+    """Rows of salted groups, equal contexts once, dealt by name alone."""
+    reach = length - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _received(batches, reach)
+        if got is None:
+            return
+        x, told = got
+        if len(told["dk"]):
+            told["left"] = told["right"] = np.zeros((len(told["dk"]), 0), np.uint8)
+            yield _pack((told["dk"].view(_U) % _U(buckets)).astype(np.int64), **{n: told[n] for n in _SENT})
+        if len(x["dk"]):
+            yield from _send(x, reach, buckets)
+
+    return packed.repartition(buckets, "bucket").mapInArrow(run, packed.schema)
+
+
 def _once(x: dict[str, np.ndarray], reach: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Of rows with equal contexts the earliest; and the others, with the levels at which all they hold is repeated."""
-    whole = np.zeros(len(x["dk"]), _U)
-    for side in ("left", "right"):
-        wide = np.zeros((len(whole), -(-reach // 8) * 8), np.uint8)
-        wide[:, :reach] = x[side]
-        for column in wide.view("<u8").T:
-            whole = mix(whole * _U(0x9E3779B97F4A7C15) + column)
+    whole = _mixed(_mixed(np.zeros(len(x["dk"]), _U), x["left"]), x["right"])
     whole = mix(whole ^ (x["value"] + (x["before"].astype(_U) << _U(8)) + x["behind"].astype(_U)))
     order = np.lexsort((x["place"], x["dk"], x["doc"], whole))
     new = _runs(whole[order])
@@ -315,14 +403,12 @@ def marked(packed: DataFrame, buckets: int, length: int, k: int, most_rows: int
         return _pack((dk.view(_U) % _U(buckets)).astype(np.int64), dk=dk, start=(place - high).astype(np.int32), end=(place - low + length).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _gather(batches, _SENT)
-        if x is None:
+        got = _received(batches, reach)
+        if got is None:
             return
-        told = np.flatnonzero(x["high"] >= 0)
-        if len(told):
-            yield strings(x["dk"][told], x["place"][told].astype(np.int64), x["high"][told], x["low"][told])
-        fresh = x["high"] < 0
-        x = {n: v.reshape(-1, reach) if n in ("left", "right") else v[fresh] for n, v in x.items()}
+        x, told = got
+        if len(told["dk"]):
+            yield strings(told["dk"], told["place"].astype(np.int64), told["high"], told["low"])
         by_value = np.lexsort((x["place"], x["dk"], x["value"]))
         by_value = by_value[_runs(x["value"][by_value], x["dk"][by_value], x["place"][by_value])]  # repeated rows are one document
         bounds = np.append(np.flatnonzero(_runs(x["value"][by_value])), len(by_value))
@@ -370,7 +456,7 @@ def merged(found: DataFrame, buckets: int) -> DataFrame:
     return found.repartition(buckets, "bucket").mapInArrow(run, "dk long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_rows: int = MOST_ROWS) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` (array of (start, end) of removed runs, in bytes) and ``kept`` (the other
     bytes; a character can be cut, so not a string) of every document. Texts stay below 2 GB each."""
     spark = docs.sparkSession
@@ -378,10 +464,16 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("order"), F.xxhash64(F.col(doc_id), body).alias("dk"), body.alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, total * 2 // (length - gram + 2) // ENTRIES_PER_BUCKET + 1)
-    places = stage(shared_places(docs, buckets, length, gram), "places")
+    places = stage(shared_places(docs, buckets, length, gram, hot_rows), "places")
     release(spark)
-    found = stage(marked(contexts(docs, places, buckets, length, gram), buckets, length, gram), "marked")
+    hot, hottest, times = hot_grams(places, hot_rows)
+    found = stage(marked(contexts(docs, places, buckets, length, gram, hot), buckets, length, gram), "marked")
     release(spark)
+    if len(hot):
+        parts, salts = max(16, times * 10 // ENTRIES_PER_BUCKET + 1), hottest // hot_rows + 1
+        named = gathered(contexts(docs, places, parts, length, gram, hot, salts), parts, length, gram)
+        found = found.union(stage(marked(named, parts, length, gram), "marked-hot"))
+        release(spark)
     spans = stage(merged(found, buckets), "spans")
     release(spark)
     joined = docs.join(spans.withColumnRenamed("dk", "_d"), F.col("dk") == F.col("_d"), "left").select("doc_id", "text", "spans")

@@ -616,7 +616,33 @@ def test_repeats_of_awkward_rows(spark):
         n = r.randint(80, 150)
         s = r.randint(0, 150 - n) if n < 150 else 0
         rows[k] = "".join(r.choices("xyz", k=r.randint(0, 90))) + part[s : s + n] + "".join(r.choices("xyz", k=r.randint(0, 90)))
-    check_repeats(rows, {x.doc_id: x for x in suffix.remove_repeats(clashing(frame(spark, rows))).collect()})
+    docs = clashing(frame(spark, rows)).repartition(5)
+    check_repeats(rows, {x.doc_id: x for x in suffix.remove_repeats(docs).collect()})
+    check_repeats(rows, {x.doc_id: x for x in suffix.remove_repeats(docs, hot_rows=1).collect()})  # every gram is hot
+    check_repeats(rows, {x.doc_id: x for x in suffix.remove_repeats(docs, hot_rows=6).collect()})
+
+
+def test_hot_grams_do_not_meet_in_one_task(spark):
+    r = random.Random(9)
+    line = "".join(r.choices("abcdefgh", k=99))  # shared by all, one byte short of a repeated string
+    docs = frame(spark, {k: "".join(r.choices("xyz ", k=90)) + line + "".join(r.choices("xyz ", k=90)) for k in range(400)}).repartition(4)
+    named = docs.select(F.col("doc_id").alias("order"), F.col("doc_id").alias("dk"), "text")
+    places = suffix.shared_places(named, 16, 100, 16, 50).persist()
+    hot, hottest, times = suffix.hot_grams(places, 50)
+    assert len(hot) and hottest >= 400 and times >= hottest
+
+    def most(packed):
+        by = {}
+        for row in packed.where("left <> X''").collect():
+            for value in np.frombuffer(row.value, "<u8"):
+                by[value] = by.get(value, 0) + 1
+        return max(by.values())
+
+    assert most(suffix.contexts(named, places, 16, 100, 16)) >= 400
+    assert most(suffix.gathered(suffix.contexts(named, places, 16, 100, 16, hot, 8), 16, 100, 16)) < 150
+    assert [x.doc_id for x in suffix.remove_repeats(docs, hot_rows=50).where("size(spans) > 0").collect()] == [
+        x.doc_id for x in suffix.remove_repeats(docs).where("size(spans) > 0").collect()
+    ]
 
 
 def test_repeats_of_repeated_rows_and_nothing(spark):
