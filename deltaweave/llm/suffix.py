@@ -42,6 +42,7 @@ from deltaweave.llm.text import SLICE_BYTES, gram_hash, mix, slices
 LENGTH, GRAM = 100, 16
 MOST_ROWS = 200_000
 ENTRIES_PER_BUCKET = 300_000
+FINE = 8  # buckets a task: Spark hashes bucket numbers, and single ones would fall on few tasks in heaps
 MOST_HOT = 1_000_000
 HOT_LEVELS = 2
 _U = np.uint64
@@ -140,7 +141,7 @@ def shared_places(docs: DataFrame, buckets: int, length: int, k: int, hot_rows:
                 sent &= ~twin
                 for which, bucket in ((sent, value), (~sent, dk.view(_U))):  # two of a slice stand for all of its occurrences
                     if which.any():
-                        part = _pack((bucket[which] % _U(buckets)).astype(np.int64), value=value[which], dk=dk[which], place=place[which].astype(np.int32), n=n[which])
+                        part = _pack((bucket[which] % _U(FINE * buckets)).astype(np.int64), value=value[which], dk=dk[which], place=place[which].astype(np.int32), n=n[which])
                         yield part.add_column(1, "known", pa.array(np.full(part.num_rows, which is not sent)))
 
     def counted(part: pa.RecordBatch, value: pa.Array | None = None, n: pa.Array | None = None) -> pa.RecordBatch:
@@ -175,7 +176,7 @@ def shared_places(docs: DataFrame, buckets: int, length: int, k: int, hot_rows:
         count = np.diff(np.append(np.flatnonzero(new), len(value)))[np.cumsum(new) - 1]
         keep = count > 1
         if keep.any():
-            yield counted(_pack((dk[keep].view(_U) % _U(buckets)).astype(np.int64), dk=dk[keep], place=place[keep]))
+            yield counted(_pack((dk[keep].view(_U) % _U(FINE * buckets)).astype(np.int64), dk=dk[keep], place=place[keep]))
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_documents = []
@@ -280,10 +281,10 @@ def _send(x: dict[str, np.ndarray], reach: int, buckets: int, salts: int = 0) ->
     name = sent["value"]
     if salts:
         name = mix(name + mix(sent["dk"].view(_U) + sent["place"].astype(_U)) % _U(salts))
-    yield _pack((name % _U(buckets)).astype(np.int64), **{n: sent[n] for n in _SENT})
+    yield _pack((name % _U(FINE * buckets)).astype(np.int64), **{n: sent[n] for n in _SENT})
     if len(marks["dk"]):  # they need no comparison, but travel the same way
         marks["left"] = marks["right"] = np.zeros((len(marks["dk"]), 0), np.uint8)
-        yield _pack((marks["dk"].view(_U) % _U(buckets)).astype(np.int64), **{n: marks[n] for n in _SENT})
+        yield _pack((marks["dk"].view(_U) % _U(FINE * buckets)).astype(np.int64), **{n: marks[n] for n in _SENT})
 
 
 def _received(batches: Iterator[pa.RecordBatch], reach: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]] | None:
@@ -307,7 +308,7 @@ def gathered(packed: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         x, told = got
         if len(told["dk"]):
             told["left"] = told["right"] = np.zeros((len(told["dk"]), 0), np.uint8)
-            yield _pack((told["dk"].view(_U) % _U(buckets)).astype(np.int64), **{n: told[n] for n in _SENT})
+            yield _pack((told["dk"].view(_U) % _U(FINE * buckets)).astype(np.int64), **{n: told[n] for n in _SENT})
         if len(x["dk"]):
             yield from _send(x, reach, buckets)
 
@@ -400,7 +401,7 @@ def marked(packed: DataFrame, buckets: int, length: int, k: int, most_rows: int
     reach = length - k
 
     def strings(dk: np.ndarray, place: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
-        return _pack((dk.view(_U) % _U(buckets)).astype(np.int64), dk=dk, start=(place - high).astype(np.int32), end=(place - low + length).astype(np.int32))
+        return _pack((dk.view(_U) % _U(FINE * buckets)).astype(np.int64), dk=dk, start=(place - high).astype(np.int32), end=(place - low + length).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _received(batches, reach)
