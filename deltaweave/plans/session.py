@@ -73,6 +73,7 @@ class Operator:
     total: int = 0
     kept_up: int = 0
     changed: int = 0
+    session: Session | None = field(default=None, repr=False, compare=False)
 
 
 def same_rows(old: DataFrame, new: DataFrame) -> bool:
@@ -114,6 +115,7 @@ class Session:
         self._later: list[Callable[[], None]] = []
         self._needed: set[str] = set()
         self.changed_now: list[str] = []
+        self._reached: dict[str, int] = {}
         self.id, self.label, self.metadata = uuid.uuid4().hex, "", {}
 
     # building
@@ -132,6 +134,7 @@ class Session:
         except TooDeep:
             del self.operators[op.name]
             raise
+        op.session = self
         return op
 
     def source(self, name: str, make: Callable[[], DataFrame], cutoff: Callable[[DataFrame, DataFrame], bool] | None = None) -> Operator:
@@ -197,6 +200,29 @@ class Session:
         """Would it make a cycle if ``child`` needed ``parent``?"""
         return child == parent or child in self.order([parent])
 
+    def link(self, child: str, parent: str) -> None:
+        """``child`` needs ``parent`` too, as its last input, from the next pass on."""
+        if self._lock.locked():
+            raise AlreadyRunning("the plan stays as it is during a pass")
+        if self.would_cycle(child, parent):
+            raise CycleError(f"{child} -> {parent}")
+        op = self.operators[child]
+        op.inputs.append(parent)
+        deep = [n for n in self.operators if child in self.order([n]) and self.height(n) > self.max_height]
+        if deep:
+            op.inputs.pop()
+            raise TooDeep(f"{deep[0]} would be higher than {self.max_height}")
+        op.stale = True
+        self._demand()
+
+    def unlink(self, child: str, parent: str) -> None:
+        """``child`` no longer needs ``parent``."""
+        if self._lock.locked():
+            raise AlreadyRunning("the plan stays as it is during a pass")
+        self.operators[child].inputs.remove(parent)
+        self.operators[child].stale = True
+        self._demand()
+
     # demand
 
     def observe(self, name: str) -> Observer:
@@ -233,6 +259,7 @@ class Session:
         self.observers = [o for o in self.observers if o.name not in gone]
         for n in gone:
             op = self.operators.pop(n)
+            op.session = None
             self._needed.discard(n)
             for call in op.on_invalidated:
                 call()
@@ -244,15 +271,10 @@ class Session:
         """One pass: makes every demanded operator that is stale or has an input that changed, inputs first. Where the
         value stays, what is above rests. An error leaves the failed operator and those above it stale, so the next
         pass tries again."""
-        if not self._lock.acquire(blocking=False):
-            raise AlreadyRunning(f"pass {self.version} is running")
+        self._enter()
         error: BaseException | None = None
-        self.changed_now = []
         try:
-            for call in self.on_start:
-                call(self.version)
-            for s in self.sentinels:
-                s.check()
+            self._begin()
             for n in self.order([o.name for o in self.observers]):
                 self._step(self.operators[n])
         except BaseException as e:
@@ -262,22 +284,72 @@ class Session:
                     if self.operators[n].stale:
                         for call in self.operators[n].on_aborted:
                             call(e)
-            for n in self.changed_now:  # what is above a changed value was not reached, or will be made from all of it
-                for m, o in self.operators.items():
-                    if n in o.inputs and m not in self.changed_now:
-                        o.stale = True
             raise
         finally:
-            try:
-                for call in self.on_end:
-                    call(self.version, error)
-            finally:
-                if error is None:
-                    self.version += 1
-                self._lock.release()
-                later, self._later = self._later, []
-                for write in later:
-                    write()
+            self._leave(error)
+        self._tell()
+        return self.version
+
+    def start_pass(self) -> list[str]:
+        """Begin a pass that is driven by hand: ``recompute`` what is wanted, then ``end_pass``. The demanded operators,
+        inputs first."""
+        self._enter()
+        try:
+            self._begin()
+        except BaseException as e:
+            self._leave(e)
+            raise
+        return self.order([o.name for o in self.observers])
+
+    def recompute(self, name: str) -> bool:
+        """Make one operator in a pass driven by hand, if it has to be made; whether its value went on."""
+        if not self._lock.locked():
+            raise RuntimeError("no pass is running")
+        op = self.operators[name]
+        missing = [i for i in op.inputs if self.operators[i].value is None]
+        if missing:
+            raise ValueError(f"{name} needs {missing}, which were not made")
+        self._step(op)
+        return name in self.changed_now
+
+    def end_pass(self, error: BaseException | None = None) -> int:
+        """End a pass driven by hand. What was not made again above a changed value is stale; with an error the pass is undone
+        as ``run`` does it."""
+        if not self._lock.locked():
+            raise RuntimeError("no pass is running")
+        self._leave(error)
+        if error is None:
+            self._tell()
+        return self.version
+
+    def _enter(self) -> None:
+        if not self._lock.acquire(blocking=False):
+            raise AlreadyRunning(f"pass {self.version} is running")
+        self.changed_now, self._reached = [], {}
+
+    def _begin(self) -> None:
+        for call in self.on_start:
+            call(self.version)
+        for s in self.sentinels:
+            s.check()
+
+    def _leave(self, error: BaseException | None) -> None:
+        for n in self.changed_now:  # what is above a changed value and was not reached after it is to be made from all of it
+            for m, o in self.operators.items():
+                if n in o.inputs and self._reached.get(m, -1) < self._reached[n]:
+                    o.stale = True
+        try:
+            for call in self.on_end:
+                call(self.version, error)
+        finally:
+            if error is None:
+                self.version += 1
+            self._lock.release()
+            later, self._later = self._later, []
+            for write in later:
+                write()
+
+    def _tell(self) -> None:
         for n in sorted(self.changed_now) if self.deterministic else self.changed_now:
             for call in self.operators[n].on_update:
                 call(self.operators[n].value)
@@ -285,13 +357,13 @@ class Session:
                 if o.name == n:
                     for call in o.handlers:
                         call(self.operators[n].value)
-        return self.version
 
     def _step(self, op: Operator) -> None:
-        """Make one operator, if it has to be made; one at a time, in order, it is a pass driven by hand."""
+        """Make one operator, if it has to be made."""
         moved = [i for i in op.inputs if i in self.changed_now]
         op.changes = None
         if not (op.stale or op.always or op.value is None or moved or op.pending):
+            self._reached[op.name] = max(self._reached.values(), default=-1) + 1
             return
         for i in moved:
             for call in op.on_input_changed:
@@ -305,6 +377,8 @@ class Session:
                 call(e)
             raise OperatorError(op.name, e) from e
         op.stale = False
+        self._reached.pop(op.name, None)
+        self._reached[op.name] = max(self._reached.values(), default=-1) + 1
         op.recomputes += 1
         op.kept_up += bool(by_changes)
         self.counters["recomputed"] += 1
@@ -315,7 +389,8 @@ class Session:
             op.value = value
             op.changed += 1
             self.counters["changed"] += 1
-            self.changed_now.append(op.name)
+            if op.name not in self.changed_now:
+                self.changed_now.append(op.name)
 
     def _made(self, op: Operator) -> tuple[DataFrame, bool]:
         """The value from whole inputs, and whether it goes on."""
@@ -377,6 +452,18 @@ class Session:
 
     # reports
 
+    def status(self) -> dict[str, int]:
+        """Counts of operators, observers and passes, and over all passes what was made and what went on."""
+        return {"operators": len(self.operators), "needed": len(self._needed), "observers": len(self.observers), "passes": self.version, **self.counters}
+
+    def view(self, name: str) -> dict[str, object]:
+        """What the session knows of an operator."""
+        op = self.operators[name]
+        return {
+            "kind": op.kind, "height": self.height(name), "inputs": list(op.inputs), "above": [n for n, o in self.operators.items() if name in o.inputs],
+            "needed": name in self._needed, "observers": sum(o.name == name for o in self.observers), "stale": op.stale, "recomputes": op.recomputes, "changed": op.changed, "kept_up": op.kept_up, "value": op.value,
+        }
+
     def check(self) -> list[str]:
         """Problems of the registry; none if all is well."""
         found = [f"{n} needs {i}, which is not there" for n, o in self.operators.items() for i in o.inputs if i not in self.operators]

@@ -381,3 +381,57 @@ def test_nth_by_ranges(spark):
     for i in (0, 15, 16, 777, 4999):
         assert [r.v for r in positions.nth(df, "k", i, parts=16).collect()] == [i]
     assert positions.nth(df, "k", 5000, parts=16).count() == 0 and positions.nth(df.limit(0), "k", 50, parts=16).count() == 0
+
+
+def test_passes_by_hand(spark):
+    s, said = Session(spark, max_height=2), []
+    s.source("a", lambda: spark.range(3))
+    b = s.derive("b", lambda *t: t[0].select(F.sum("id").alias("t")), "a")
+    o = s.observe("b")
+    o.on_update(lambda df: said.append(df.first().t))
+    with pytest.raises(RuntimeError):
+        s.recompute("a")
+    with pytest.raises(RuntimeError):
+        s.end_pass()
+    assert s.start_pass() == ["a", "b"]
+    with pytest.raises(ValueError):
+        s.recompute("b")  # its input has no value
+    with pytest.raises(AlreadyRunning):
+        s.run()
+    with pytest.raises(AlreadyRunning):
+        s.link("b", "a")
+    assert s.recompute("a") and s.end_pass() == 1 and said == [] and b.stale
+    assert s.run() == 2 and said == [3] and not b.stale
+    s.set("a", lambda: spark.range(5))
+    s.start_pass()
+    assert not s.recompute("b") and s.recompute("a")  # in the wrong order: b is stale afterwards
+    assert s.end_pass() == 3 and b.stale and s.run() == 4 and said == [3, 10]
+    s.set_stale("a")
+    s.start_pass()
+    s.recompute("a")
+    assert s.end_pass(ValueError("no")) == 4 and b.stale and s.run() == 5
+    assert s.view("b")["height"] == 1 and s.view("a")["above"] == ["b"] and s.view("b")["needed"]
+    assert s.status()["passes"] == 5 and s.status()["observers"] == 1 and s.check() == []
+    s.source("c", lambda: spark.range(1))
+    s.derive("d", lambda c: c, "c")
+    with pytest.raises(CycleError):
+        s.link("a", "b")
+    s.derive("e", lambda d: d, "d")
+    with pytest.raises(TooDeep):
+        s.link("a", "e")
+    assert s.operators["a"].inputs == []
+    s.link("b", "c")
+    assert b.session is s and s.view("c")["needed"]
+    s.unlink("b", "c")
+    assert not s.view("c")["needed"]
+    s.invalidate("b")
+    assert b.session is None
+
+
+def test_sessions_have_names(spark):
+    s = Session(spark)
+    assert s.id != Session(spark).id
+    s.label, s.metadata["owner"] = "daily", "x"
+    op = s.source("a", lambda: spark.range(1))
+    op.label = "input"
+    assert (s.label, s.metadata) == ("daily", {"owner": "x"}) and "input" in s.dot()
