@@ -29,6 +29,7 @@ document, and each gets its result. No documents: no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from deltaweave.llm.staging import release, stage
+from deltaweave.llm.staging import drop_staged, release, stage
 from deltaweave.llm.text import SLICE_BYTES, gram_hash, mix, slices
 
 LENGTH, GRAM = 100, 16
@@ -468,15 +469,18 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     places = stage(shared_places(docs, buckets, length, gram, hot_rows), "places")
     release(spark)
     hot, hottest, times = hot_grams(places, hot_rows)
-    found = stage(marked(contexts(docs, places, buckets, length, gram, hot), buckets, length, gram), "marked")
+    found = [stage(marked(contexts(docs, places, buckets, length, gram, hot), buckets, length, gram), "marked")]
     release(spark)
     if len(hot):
         parts, salts = max(16, times * 10 // ENTRIES_PER_BUCKET + 1), hottest // hot_rows + 1
         named = gathered(contexts(docs, places, parts, length, gram, hot, salts), parts, length, gram)
-        found = found.union(stage(marked(named, parts, length, gram), "marked-hot"))
+        found.append(stage(marked(named, parts, length, gram), "marked-hot"))
         release(spark)
-    spans = stage(merged(found, buckets), "spans")
+    drop_staged(places)
+    spans = stage(merged(functools.reduce(DataFrame.union, found), buckets), "spans")
     release(spark)
+    for part in found:
+        drop_staged(part)
     joined = docs.join(spans.withColumnRenamed("dk", "_d"), F.col("dk") == F.col("_d"), "left").select("doc_id", "text", "spans")
     schema = joined.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(b"").alias("kept")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
